@@ -54,11 +54,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType) -> DataFrame:
-    """mapInArrow by small batches; `f` returns a batch, or its columns by name."""
-    spark = df.sparkSession
+def bounded_batches(spark: SparkSession) -> None:
     for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType) -> DataFrame:
+    """mapInArrow by small batches; `f` returns a batch, or its columns by name."""
+    bounded_batches(df.sparkSession)
     fields = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, pii, quality, simhash
+from . import decontaminate, media, pieces, pii, quality, simhash, urls
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"), pieces.Vocabulary.read(PIECES()))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op5_simhash, op6_pieces, op9_pii, op10_quality, pipeline)
+    found = (op1_decontamination, op3_urls, op5_simhash, op6_pieces, op7_media, op9_pii, op10_quality, pipeline)
     return {f.__name__: f for f in found}

@@ -1,0 +1,136 @@
+"""URL filters: rules, then logistic regression on hashed character n-grams of host and path. All of it built-in expressions.
+
+Training takes a small labelled table (MAX_LABELLED rows at most, else ValueError): it is one row of arrays, the
+similarities of its URLs are the kernel, and full-batch gradient descent runs in an `aggregate` over that row. What comes
+out is one weight for each of BUCKETS buckets. Scoring is a sum over a URL's n-grams, in the scan itself.
+
+Null URLs and those without `://` have empty host and path; their score is the intercept's. Repeated rows and ties are judged
+row by row. Rows of the labelled table with a null URL or label don't teach; one without rows gives a score of 0.5, which
+is allowed. Other columns pass untouched by `judged`.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MAX_LABELLED = 500
+BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (3, 5), 200, 8.0, 0.0005
+
+# The rules of the query, as (verdict, host, path).
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+# Hosts of the small labelled table that the query trains on, without scheme, prefix, ending and path.
+UNWANTED = (
+    "casino-bonus best-casino casino-win online-casino free-bets sports-bets bets-now free-money "
+    "ads-server ads-track click-track ads-click spam-links link-farm spam-farm spam-mail "
+    "cheap-pills pills-online cheap-meds buy-pills adult-video xxx-adult adult-x adult-chat"
+).split()
+WANTED = (
+    "library garden city-news weather python-docs university museum thoughts recipes science "
+    "health travel music history nature theatre thing therapy times station "
+    "mathematics school another them there thinking tion thesis shth"
+).split()
+_PREFIXES, _ENDS, _PATHS = ("", "www.", "m.", "blog."), (".test", ".example.com", ".example.net", ".example.org"), ("/en/12", "/fr/340", "/de/7.html", "/es/85/")
+
+#: (label, url), 1 for unwanted. Each host comes four times, and both kinds with the same prefixes, endings and paths in turn.
+LABELLED = tuple((y, f"http{'s' * (i % 2)}://{_PREFIXES[(i + j) % 4]}{h}{_ENDS[(i // 4 + j) % 4]}{_PATHS[(i + 3 * j) % 4]}") for y, hosts in ((1, UNWANTED), (0, WANTED)) for i, h in enumerate(hosts) for j in range(4))
+
+
+def host(url: Column) -> Column:
+    rest = F.substring_index(url, "://", 1)
+    rest = F.substr(url, F.length(rest) + 4, F.length(url))
+    found = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.coalesce(url.contains("://"), F.lit(False)), found).otherwise(F.lit(""))
+
+
+def path(url: Column) -> Column:
+    rest = F.substring_index(url, "://", 1)
+    rest = F.substr(url, F.length(rest) + 4, F.length(url))
+    return F.when(F.coalesce(url.contains("://"), F.lit(False)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
+
+
+def grams(h: Column, p: Column) -> Column:
+    """Buckets of the different n-grams of host and path, each padded and marked as its own kind."""
+    def of(mark: str, text: Column) -> list[Column]:
+        padded = F.concat(F.lit("^"), text, F.lit("$"))
+        return [
+            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+            for n in range(GRAM[0], GRAM[1] + 1)
+        ]
+
+    every = F.array_distinct(F.concat(*of("h", h), *of("p", p)))
+    return F.when((h == "") & (p == ""), F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))))
+
+
+@dataclass(frozen=True)
+class Model:
+    weights: tuple[float, ...]
+    intercept: float
+
+    def score(self, h: Column, p: Column) -> Column:
+        """Probability of label 1."""
+        weights = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>")
+        total = F.aggregate(grams(h, p), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, g: F.struct((a["sum"] + F.element_at(weights, g + 1)).alias("sum"), (a["n"] + 1).alias("n")), lambda a: a["sum"] / F.sqrt(F.greatest(a["n"], F.lit(1)).cast("double")))
+        return 1 / (1 + F.exp(-(F.lit(self.intercept) + total)))
+
+
+def labelled(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(u, y) for y, u in LABELLED], "url string, label int")
+
+
+def train(rows: DataFrame) -> Model:
+    """Logistic regression from (url, label)."""
+    rows = rows.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("double").alias("y"))
+    n = rows.count()
+    if n > MAX_LABELLED:
+        raise ValueError(f"{n} labelled URLs; this trains on {MAX_LABELLED} at most")
+    if not n:
+        return Model((0.0,) * BUCKETS, 0.0)
+    rows = rows.select(grams(host(F.col("url")), path(F.col("url"))).alias("x"), "y", "url")
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("url", "y", "x"))).alias("rows"))  # MAX_LABELLED rows at most
+    kernel = F.transform("rows", lambda a: F.transform("rows", lambda b: F.size(F.array_intersect(a["x"], b["x"])) / F.sqrt(F.greatest(F.size(a["x"]) * F.size(b["x"]), F.lit(1)).cast("double"))))
+    one = one.select("rows", kernel.alias("kernel"))
+    zero = F.struct(F.transform("rows", lambda r: F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
+
+    def step(now: Column, _: Column) -> Column:
+        margin = lambda row: F.aggregate(F.zip_with(row, now["a"], lambda k, a: k * a), now["b"], lambda s, v: s + v)
+        wrong = F.transform("kernel", lambda row, i: 1 / (1 + F.exp(-margin(row))) - F.element_at("rows", i + 1)["y"])
+        moved = F.transform(F.array(wrong), lambda e: F.struct(F.zip_with(now["a"], e, lambda a, v: a - RATE / n * 10 * v - DECAY * a).alias("a"), (now["b"] - RATE / n * F.aggregate(e, F.lit(0.0), lambda s, v: s + v)).alias("b")))
+        return F.element_at(moved, 1)
+
+    fitted = one.select("rows", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), zero, step).alias("fit"))
+    of = fitted.select(F.col("fit.b").alias("b"), F.explode(F.arrays_zip("rows", F.col("fit.a").alias("a"))).alias("r"))
+    of = of.select("b", F.col("r.a").alias("a"), F.col("r.rows.x").alias("x"))
+    parts = of.select("b", F.explode(F.when(F.size("x") > 0, F.col("x")).otherwise(F.array(F.lit(0)))).alias("k"), F.when(F.size("x") > 0, F.col("a") / F.sqrt(F.size("x").cast("double"))).otherwise(F.lit(0.0)).alias("w"))
+    got = parts.groupBy("k").agg(F.sum("w").alias("w"), F.first("b").alias("b")).collect()  # BUCKETS rows at most
+    weights = [0.0] * BUCKETS
+    for r in got:
+        weights[r["k"]] = round(r["w"], 9)
+    return Model(tuple(weights), round(got[0]["b"], 9))
+
+
+def rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
+    """(rule, verdict) of the longest rule that fits, or nulls."""
+    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for what, host_, path_ in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r)):
+        fits = ((h == host_) | h.endswith("." + host_)) & p.startswith(path_)
+        name, verdict = F.when(fits, F.lit(host_ + path_)).otherwise(name), F.when(fits, F.lit(what)).otherwise(verdict)
+    return name, verdict
+
+
+def judged(pages: DataFrame, model: Model, rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """`pages` with host, path, rule, score and verdict; columns of these names are replaced."""
+    url = F.col("url")
+    h, p = host(url), path(url)
+    name, verdict = rule(h, p, rules)
+    score = model.score(h, p)
+    return pages.withColumns({"host": h, "path": p, "rule": name, "score": score, "verdict": F.coalesce(verdict, F.when(score > threshold, "block").otherwise("allow"))})
+
+
+def report(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score) of every row."""
+    model = train(labelled(pages.sparkSession) if rows is None else rows)
+    return judged(pages.select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
