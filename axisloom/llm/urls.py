@@ -31,7 +31,7 @@ UNWANTED = (
 WANTED = (
     "library garden city-news weather python-docs university museum thoughts recipes science "
     "health travel music history nature theatre thing therapy times station "
-    "mathematics school another them there thinking tion thesis shth"
+    "mathematics school another them there thinking nation thesis edition fiction question tradition"
 ).split()
 _PREFIXES, _ENDS, _PATHS = ("", "www.", "m.", "blog."), (".test", ".example.com", ".example.net", ".example.org"), ("/en/12", "/fr/340", "/de/7.html", "/es/85/")
 
