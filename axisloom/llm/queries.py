@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, pieces, pii, quality, simhash, urls
+from . import decontaminate, licenses, media, pieces, pii, quality, quotes, simhash, urls
 from .common import table
 
 
@@ -20,10 +20,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.report(table(spark, sf_dir, "conversations"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -51,5 +59,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op3_urls, op5_simhash, op6_pieces, op7_media, op9_pii, op10_quality, pipeline)
+    found = (op1_decontamination, op2_quotes, op3_urls, op4_licenses, op5_simhash, op6_pieces, op7_media, op9_pii, op10_quality, pipeline)
     return {f.__name__: f for f in found}
