@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +58,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: they may not have it installed."""
+    if (name := spark.sparkContext.applicationId) not in _shipped:
+        _shipped.add(name)
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="axisloom-")  # of the driver, which serves the file as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"{folder}/axisloom-{name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in (root / "axisloom").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
+    """What every Python stage needs: the package on the executors, and small batches."""
+    _ship(spark)
     for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, media, pieces, pii, quality, quotes, simhash, urls
+from . import decontaminate, licenses, media, passages, pieces, pii, quality, quotes, simhash, urls
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_quotes, op3_urls, op4_licenses, op5_simhash, op6_pieces, op7_media, op9_pii, op10_quality, pipeline)
+    found = (op1_decontamination, op2_quotes, op3_urls, op4_licenses, op5_simhash, op6_pieces, op7_media, op8_passages, op9_pii, op10_quality, pipeline)
     return {f.__name__: f for f in found}
