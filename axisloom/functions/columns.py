@@ -20,4 +20,4 @@ def exact_money(c: str | Column) -> Column:
 def hour_index(ts: str | Column, start: str) -> Column:
     """Whole hours since `start` (UTC), from 0."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestampdiff("HOUR", F.lit(start).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    return F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), c.cast("timestamp_ntz"))
