@@ -29,7 +29,9 @@ def vjp_contract(formula: str, x: Frame, y: Frame, grad: Frame, families=None) -
         lost = [n for n in own.names if n not in have]
         inner = [n for n in own.names if n in have]
         plain = lambda names: " ".join(names)
-        g = contract(f"{plain(out.names)}, {plain(other.names)} -> {plain(inner)}", grad, replace(frames[1 - k], placements={}))
+        keep = inner or list(dict.fromkeys((*out.names, *other.names)))  # a formula can't name a number: it is summed after it
+        g = contract(f"{plain(out.names)}, {plain(other.names)} -> {plain(keep)}", grad, replace(frames[1 - k], placements={}))
+        g = g if inner else g.summed(())
         for n in lost:
             size = frames[k].size(frames[k].axes[own.names.index(n)])
             g = replace(g, df=g.df.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1)).cast("array<bigint>")).alias(n)), axes=(*g.axes, n), sizes={**g.sizes, n: size})
