@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import free_name, map_arrow
 
@@ -174,7 +174,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFr
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
     """`rows` with the text of their token ids, null for null."""
     shipped, digest = rows.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest()
-    schema = StructType([*(f for f in rows.schema.fields if f.name != text), *rows.limit(0).selectExpr(f"'' as `{text}`").schema.fields])
+    schema = StructType([*(f for f in rows.schema.fields if f.name != text), StructField(text, StringType(), True)])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(digest, shipped.value)
