@@ -44,13 +44,13 @@ class Frame:
 
     @staticmethod
     def of(df: DataFrame, axes: Iterable[str] | Mapping[str, str | Column], value: str | Column = "v", sizes: Mapping[str, int] | None = None, unique: bool = True, imaginary: str | Column | None = None) -> Frame:
-        """A frame of table rows: axis names, or axis name -> column; repeated coordinates add up if `unique` is False."""
+        """A frame of table rows: axis names, or axis name -> column. With `unique` False coordinates may repeat and add up:
+        linear operators take such rows as they are, and only what must see one row for each coordinate sums first."""
         col = lambda c: F.col(c) if isinstance(c, str) else c
         axes = axes if isinstance(axes, Mapping) else {a: a for a in axes}
         values = {"v": value} if imaginary is None else {"re": value, "im": imaginary}
         picked = df.select(*[col(c).cast("bigint").alias(a) for a, c in axes.items()], *[_number(df, col(c), n) for n, c in values.items()])
-        frame = Frame(picked, tuple(axes), dict(sizes or {}), tuple(values), unique=unique)
-        return frame if unique else frame.summed()
+        return Frame(picked, tuple(axes), dict(sizes or {}), tuple(values), unique=unique)
 
     @staticmethod
     def of_arrays(df: DataFrame, axes: Iterable[str] | Mapping[str, str | Column], array: str | Column, inner: str, sizes: Mapping[str, int] | None = None) -> Frame:
@@ -104,6 +104,10 @@ class Frame:
 
     # --- values -----------------------------------------------------------------------------------------------
 
+    def once(self) -> Frame:
+        """With one row for each coordinate."""
+        return self if self.unique else self.summed()
+
     def summed(self, axes: Iterable[str] | None = None, partials: Iterable[str] | None = None) -> Frame:
         """Sums over all other axes and partial dimensions (none by default: repeated coordinates become one)."""
         axes = self.axes if axes is None else tuple(axes)
@@ -118,15 +122,14 @@ class Frame:
         grid = _grid(f.df, f.axes, f.sizes)
         for p in f.partials:
             grid = grid.crossJoin(F.broadcast(f.df.sparkSession.range(f.mesh.size(p)).select(F.col("id").cast("int").alias(partial_column(p)))))
-        have = f if f.unique else f.summed()
-        df = grid.join(have.df, f.keys, "left").select(*f.keys, *[F.coalesce(v, F.lit(float(fill))).alias(v) for v in f.values])
+        df = grid.join(f.once().df, f.keys, "left").select(*f.keys, *[F.coalesce(v, F.lit(float(fill))).alias(v) for v in f.values])
         return replace(f, df=df, unique=True)
 
     def packed(self, axis: str) -> DataFrame:
         """One row for each coordinate of the other axes, with an array over `axis`: dense, zero where there was no row."""
         n = self.size(axis)
         rest = [a for a in self.axes if a != axis]
-        lists = self.df.groupBy(*rest).agg(F.map_from_entries(F.collect_list(F.struct(axis, "v"))).alias("m"))  # the size of one axis
+        lists = self.once().df.groupBy(*rest).agg(F.map_from_entries(F.collect_list(F.struct(axis, "v"))).alias("m"))  # the size of one axis
         return lists.select(*rest, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0))).alias("v"))
 
     # --- layout -----------------------------------------------------------------------------------------------
@@ -139,7 +142,7 @@ class Frame:
 
     def to_shards(self) -> DataFrame:
         """Rows as the ranks see them: `_s_<dim>` for each dimension in use, local coordinates along placed axes."""
-        df = self.df
+        df = self.once().df
         owners = {}
         for axis, dim in self.placements.items():
             sizes = self.split(axis)

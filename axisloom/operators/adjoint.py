@@ -42,7 +42,7 @@ def vjp_contract(formula: str, x: Frame, y: Frame, grad: Frame, families=None) -
 
 def vjp_reduce(grad: Frame, axes: Mapping[str, int]) -> Frame:
     """Of a sum over `axes` of these sizes: the gradient goes to every element."""
-    df = grad.df
+    df = grad.once().df
     for a, n in axes.items():
         df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(a))
     return replace(grad, df=df, axes=(*grad.axes, *axes), sizes={**grad.sizes, **axes})

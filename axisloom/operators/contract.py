@@ -2,7 +2,7 @@
 
 One input: diagonal, sum of missing axes, reshape, relayout. Two: each operand sums what only it has before the join (eager
 aggregation, which Catalyst leaves above it), shared axes are an equi-join, and what neither output nor partial keeps is
-summed after it; without anything to sum there is no aggregate. An operand whose known sizes prove it small is
+summed after it, repeated coordinates as well; without anything to sum there is no aggregate. An operand whose known sizes prove it small is
 broadcast, else adaptive execution decides. A reshape is arithmetic on coordinates, never a join.
 """
 
@@ -212,7 +212,9 @@ def _two(f: Formula, bound: list[Frame], kept: list[str], mesh: Mesh | None, sha
     sides = []
     for a, b in ((x, y), (y, x)):
         stay = [n for n in a.axes if n in kept or n in b.axes or n in needed]
-        sides.append(a.summed(stay) if len(stay) < len(a.axes) or not a.unique else a)
+        # Repeated coordinates may wait for the last sum where the join gives each of their rows one partner at most.
+        waits = b.unique and set(b.axes) <= set(a.axes)
+        sides.append(a.summed(stay) if len(stay) < len(a.axes) or not (a.unique or waits) else a)
     x, y = sides
     sizes = {**x.sizes, **y.sizes}
     if kernel == "blocks":
@@ -244,7 +246,7 @@ def _two(f: Formula, bound: list[Frame], kept: list[str], mesh: Mesh | None, sha
         picked.append(shard_of(F.col(axis), resolve_sizes(shapes, dim, axis, n, mesh.size(p))).alias(partial_column(p)))
     df = joined.select(*kept, *picked, *[e.alias(n) for n, e in values.items()])
     out = Frame(df, tuple(kept), {a: n for a, n in sizes.items() if a in kept}, tuple(values), partials=tuple(keys), unique=True)
-    if set(x.axes) | set(y.axes) != set(kept):
+    if set(x.axes) | set(y.axes) != set(kept) or not (x.unique and y.unique):
         out = out.summed()
     if keys:
         both = {a.shard: a.name for a in f.output.axes if a.shard in keys}

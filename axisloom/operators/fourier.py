@@ -196,14 +196,14 @@ def _stages(x: Frame, a: str, target: str, n: int, kept: int, sign: int, factor:
 def _lines(x: Frame, a: str, target: str, n: int, kept: int, inverse: bool, factor: float, sizes: dict[str, int]) -> Frame:
     rest = [c for c in x.axes if c != a]
     re, im = _parts(x)
-    lines = x.df.select(*rest, F.col(a).cast("int").alias("_n"), re.alias("_re"), im.alias("_im")).groupBy(*rest).agg(*[F.collect_list(c).alias(c) for c in ("_n", "_re", "_im")])  # n at most: one line
+    lines = x.once().df.select(*rest, F.col(a).cast("int").alias("_n"), re.alias("_re"), im.alias("_im")).groupBy(*rest).agg(*[F.collect_list(c).alias(c) for c in ("_n", "_re", "_im")])  # one line
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
                 at, u, v = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("_n", "_re", "_im"))  # noqa: B023
                 line = np.zeros(n, complex)
-                line[at] = u + 1j * v
+                np.add.at(line, at, u + 1j * v)
                 done = (np.fft.ifft(line) * n if inverse else np.fft.fft(line))[:kept] * factor
                 head = [pa.array(np.full(kept, b.column(c)[r].as_py(), np.int64)) for c in rest]
                 yield pa.record_batch([*head, pa.array(np.arange(kept, dtype=np.int64)), pa.array(done.real), pa.array(done.imag)], names=[*rest, target, "re", "im"])

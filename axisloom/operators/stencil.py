@@ -52,7 +52,7 @@ def _bound(f, x: Frame) -> Frame:
         raise ValueError("stencils take one operand")
     if f.inputs[0].partials or f.output.partials:
         raise ValueError("stencils take no partial sums; reduce them first")
-    return bind(f.inputs[0], x, {})
+    return bind(f.inputs[0], x.once(), {})
 
 
 def _out(f, x: Frame, mesh: Mesh | None, shapes) -> Frame:

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frame import Frame, _grid, partial_column
+from .frame import Frame, _grid
 from .functions import hour_index, rounded
 from .mesh import Mesh
 from .operators import adjoint
@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 def rows(x: Frame, digits: int | None = 4) -> DataFrame:
     """Coordinates, partials and values of a frame, rounded."""
-    return x.df.select(*x.keys, *[rounded(v, digits).alias(v) if digits is not None else F.col(v) for v in x.values])
+    return x.once().df.select(*x.keys, *[rounded(v, digits).alias(v) if digits is not None else F.col(v) for v in x.values])
 
 
 # --- frames of the tables ---------------------------------------------------------------------------------------
@@ -560,5 +560,4 @@ def duty_mean(s, d):
 
 @query("SELECT c_nationkey::BIGINT n, p::INTEGER _p_dp, sum(p + 1)::DOUBLE v FROM customer, range(3) r(p) GROUP BY ALL")
 def duty_none(s, d):
-    x = _registry().reduce_grad("u", _ranked(s, d))
-    return x.df.select("n", partial_column("dp"), "v")
+    return rows(_registry().reduce_grad("u", _ranked(s, d)), None)

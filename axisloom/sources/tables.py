@@ -18,6 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def write_frame(x: Frame, path: str, mode: str = "errorifexists") -> None:
     """Coordinates as Parquet, laid out by the placed axes' shards if there are any; axes and sizes go into the metadata of the first axis."""
+    x = x.once()
     note = json.dumps({"axes": x.axes, "sizes": dict(x.sizes), "values": x.values, "partials": x.partials})
     df = x.df.select(*[F.col(c).alias(c, metadata={"frame": note}) if c == x.axes[0] else F.col(c) for c in x.keys], *x.values)
     df.write.mode(mode).parquet(path)
