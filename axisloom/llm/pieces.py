@@ -32,7 +32,7 @@ from .common import free_name, map_arrow
 
 BLANK = "▁"
 #: Words that a worker remembers at most.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 @dataclass(frozen=True)
