@@ -48,5 +48,6 @@ def multiplied(x: Frame, y: Frame, kept: list[str], shared: list[str]) -> Frame:
                 yield pa.record_batch([pa.array(row + first), pa.array(col + second), pa.array(product[row, col])], names=[i, j, "v"])
 
     df = pairs.mapInArrow(run, f"`{i}` bigint, `{j}` bigint, v double")
-    out = Frame(df, (i, j), {a: n for a, n in {**x.sizes, **y.sizes}.items() if a in (i, j)}, unique=False).summed()
-    return out
+    sizes = {**x.sizes, **y.sizes}
+    once = sizes.get(k, BLOCK + 1) <= BLOCK  # one block along the contracted axis: nothing is left to add up
+    return Frame(df, (i, j), {a: sizes[a] for a in (i, j) if a in sizes}, unique=once).once()
