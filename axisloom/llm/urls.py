@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 500
-BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (3, 5), 200, 8.0, 0.0005
+BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (3, 4), 200, 8.0, 0.0005
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
