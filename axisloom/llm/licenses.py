@@ -119,7 +119,7 @@ def found(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
 
 def report(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(doc_id, n_licenses, licenses, containment, spans) of every row: comma-joined names and word spans, the lowest containment."""
+    """(doc_id, n_licenses, licenses, containment, spans) of every row: comma-joined names and word spans, the lowest containment (0 without any)."""
     m = F.col("matches")
     spans = F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found(docs, templates).select("doc_id", F.size(m).cast("long").alias("n_licenses"), F.array_join(m["template"], ",").alias("licenses"), F.array_min(m["containment"]).alias("containment"), spans.alias("spans"))
+    return found(docs, templates).select("doc_id", F.size(m).cast("long").alias("n_licenses"), F.array_join(m["template"], ",").alias("licenses"), F.coalesce(F.array_min(m["containment"]), F.lit(0.0)).alias("containment"), spans.alias("spans"))

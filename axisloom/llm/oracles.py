@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .common import plain_words
+from .licenses import LEAST, SHINGLE, TEMPLATES, TIERS
+
 _PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1 = rf"""
@@ -23,5 +26,27 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def licenses_sql(templates: dict[str, str] = TEMPLATES) -> str:
+    """The best window of each template by exact containment, over all windows of its tier; every template has SHINGLE words or more."""
+    rows = []
+    for name, text in sorted(templates.items()):
+        words = [w.decode() for w in plain_words(text.encode())]
+        shingles = {" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        n = len(words) - SHINGLE + 1
+        tier = next((w for w in TIERS if 2 * n <= w), 2 * n)
+        rows += [f"('{name}', {tier}, {len(shingles)}, '{s}')" for s in sorted(shingles)]
+    return rf"""
+WITH template(name, tier, n, g) AS (VALUES {", ".join(rows)}),
+doc AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(len(w) - {SHINGLE - 1})) AS i FROM doc WHERE len(w) >= {SHINGLE}),
+hit AS (SELECT doc_id, name, tier, n, i, g FROM (SELECT doc_id, i, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS g FROM pos) JOIN template USING (g)),
+win AS (SELECT *, unnest([i // (tier // 2), i // (tier // 2) - 1]) * (tier // 2) AS s FROM hit),
+share AS (SELECT doc_id, name, s, count(DISTINCT g) / any_value(n) AS c, min(i) AS a, max(i) + {SHINGLE} AS b FROM win WHERE s >= 0 AND i < s + tier GROUP BY doc_id, name, s HAVING c >= {LEAST}),
+best AS (SELECT * FROM share QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY c DESC, s) = 1),
+found AS (SELECT doc_id, count(*) AS k, string_agg(name, ',' ORDER BY name) AS names, min(c) AS c, string_agg(a || '-' || b, ',' ORDER BY name) AS spans FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(k, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(c, 0)::DOUBLE AS containment, coalesce(spans, '') AS spans FROM doc LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1}
+    return {"op1_decontamination": OP1, "op4_licenses": licenses_sql()}
