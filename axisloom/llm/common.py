@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -18,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows and bytes that one Arrow batch holds at most, so that a worker's memory stays bounded.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +100,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow by small batches; `f` returns a batch, or its columns by name."""
     bounded_batches(df.sparkSession)
@@ -110,6 +119,8 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
                 if isinstance(out, dict):
                     out = pa.record_batch([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name] for x in fields], schema=fields)
                 yield out
+        del batches
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -130,6 +141,20 @@ def blank_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, however many rows a key has.
+
+    Keys of over a thousandth of the rows (and over 1000) are 1000 at most; their rows stay where they are and meet a
+    broadcast of those few. All others are an ordinary join.
+    """
+    least = max(1000, left.count() // 1000)
+    hot = saved(left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key))
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    return left.join(F.broadcast(right.join(few, key, "left_semi")), key).unionByName(left.join(few, key, "left_anti").join(right, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): a row (node, component) for each node; component is its smallest node.
 

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, bounded_batches, saved, shared_dir
+from .common import binary, bounded_batches, lookup, saved, shared_dir
 
 WIDTH = 64
 HEADER = 33
@@ -192,5 +192,5 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height) of every row."""
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     index = saved(written(docs, folder))
-    known = with_features(with_metadata(places(index), folder), folder).drop("shard", "offset", "length", "bits")
-    return index.select("doc_id", "n_bytes", "payload_bytes", "digest").join(known, "digest").drop("digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    known = saved(with_features(with_metadata(places(index), folder), folder).drop("shard", "offset", "length", "bits"))
+    return lookup(index.select("doc_id", "n_bytes", "payload_bytes", "digest"), known, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blank_words, components, free_name, map_arrow, saved
+from .common import binary, blank_words, components, free_name, lookup, map_arrow, saved
 
 #: Fingerprints of one key up to which all pairs are verified.
 CROWD = 32
@@ -146,11 +146,11 @@ def classes(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
     fps = saved(fingerprints(docs, k))
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     groups = components(links(nodes, bits))
-    named = groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "doc_id", "component")
+    named = saved(groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "doc_id", "component"))
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(low, "component").select("fp", "component_id")
+    of = lookup(named, low, "component").select("fp", "component_id")
     of = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return lookup(fps, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(column: str = "fp"):
@@ -245,9 +245,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
         return b.select(["a", "b"]).filter(pa.array(good))
 
     groups = components(map_arrow(whole, verified, "a string, b string"))
-    named = groups.join(nodes, groups["node"] == nodes["digest"]).select("digest", "doc_id", "component")
+    named = saved(groups.join(nodes, groups["node"] == nodes["digest"]).select("digest", "doc_id", "component"))
     low = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("keeper"))
-    of = named.join(low, "component").select("digest", "keeper")
+    of = lookup(named, low, "component").select("digest", "keeper")
     return nodes.select("digest", "doc_id", "copies").join(of, "digest", "left").withColumn("keeper", F.coalesce("keeper", F.struct("doc_id", "digest")))
 
 
@@ -257,7 +257,8 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     digest, id_, again = (free_name(docs, x) for x in ("digest", "id", "copies"))
     keepers = groups.where("digest = keeper.digest").select(F.col("digest").alias(digest), F.col("doc_id").alias(id_), F.col("copies").alias(again))
     own = docs.withColumn(digest, F.md5(binary("text")))
-    kept = own.join(keepers, digest).where(F.col("doc_id").eqNullSafe(F.col(id_)))
+    # By id as well as digest, so that the copies of one text don't meet in one task.
+    kept = own.join(keepers.withColumnRenamed(digest, f"{digest}of"), (F.col(digest) == F.col(f"{digest}of")) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     single = kept.where(F.col(again) == 1).select(*docs.columns)
     repeated = kept.where(F.col(again) > 1).groupBy(digest).agg(F.first(whole).alias("row")).select("row.*")  # rows of one id and text

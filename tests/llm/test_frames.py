@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from axisloom.llm import decontaminate, licenses, media, passages, pieces, pii, quality, quotes, simhash, urls
-from axisloom.llm.common import components, plain_words
+from axisloom.llm.common import components, lookup, plain_words
 from axisloom.llm.queries import PIECES, queries
 
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -47,6 +47,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_lookup_of_hot_keys(spark):
+    left = spark.range(6000).selectExpr("id", "if(id < 4000, id % 2, id) key")
+    right = spark.range(5500).selectExpr("id key", "id * 10 v")
+    got = lookup(left, right, "key")
+    assert got.count() == 4000 + 1500 and got.where("v <> key * 10").count() == 0
+    assert lookup(left.where("id >= 4000"), right, "key").count() == 1500
+
+
 def test_decontamination(docs, empty, items, spark):
     got = decontaminate.report(docs, items).collect()
     assert len(got) == len(TEXTS)
