@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 MAX_LABELLED = 500
 BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (3, 4), 200, 8.0, 0.0005
 
@@ -54,14 +56,12 @@ def path(url: Column) -> Column:
 
 def grams(h: Column, p: Column) -> Column:
     """Buckets of the different n-grams of host and path, each padded and marked as its own kind."""
-    def of(mark: str, text: Column) -> list[Column]:
+    def of(mark: str, text: Column, n: int) -> Column:
         padded = F.concat(F.lit("^"), text, F.lit("$"))
-        return [
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-            for n in range(GRAM[0], GRAM[1] + 1)
-        ]
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1))
+        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.concat(F.lit(mark), F.substr(padded, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    every = F.array_distinct(F.concat(*of("h", h), *of("p", p)))
+    every = F.array_distinct(F.concat(*[of(mark, text, n) for mark, text in (("h", h), ("p", p)) for n in range(GRAM[0], GRAM[1] + 1)]))
     return F.when((h == "") & (p == ""), F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))))
 
 
@@ -92,7 +92,7 @@ def train(rows: DataFrame) -> Model:
     rows = rows.select(grams(host(F.col("url")), path(F.col("url"))).alias("x"), "y", "url")
     one = rows.agg(F.sort_array(F.collect_list(F.struct("url", "y", "x"))).alias("rows"))  # MAX_LABELLED rows at most
     kernel = F.transform("rows", lambda a: F.transform("rows", lambda b: F.size(F.array_intersect(a["x"], b["x"])) / F.sqrt(F.greatest(F.size(a["x"]) * F.size(b["x"]), F.lit(1)).cast("double"))))
-    one = one.select("rows", kernel.alias("kernel"))
+    one = saved(one.select("rows", kernel.alias("kernel")))  # else each step would make the kernel again
     zero = F.struct(F.transform("rows", lambda r: F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
 
     def step(now: Column, _: Column) -> Column:
