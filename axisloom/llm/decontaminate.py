@@ -152,20 +152,29 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[str | None, list[bytes]]]]:
     return [[(i, w) for i, t in items.where(part == k).toLocalIterator() if (w := plain_words(bytes(t)))] for k in range(n)]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, spans: str = "spans", items: str = "items", words: str = "n_words") -> DataFrame:
-    """`docs` with hit stretches of words, the ids of items with occurring windows (sorted as strings), and the number of words."""
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, spans: str = "spans", items: str = "items", words: str = "n_words", trimmed: str | None = None, shortest: int = 1) -> DataFrame:
+    """`docs` with hit stretches of words, the ids of items with occurring windows (sorted as strings), and the number of
+    words; as column `trimmed`, if named, also the text without stretches of `shortest` words or more (null: nothing to cut)."""
     text = free_name(docs, "bytes")
+    blocks = _blocks(benchmark) or [[]]
+    if trimmed:
+        docs = docs.withColumn(trimmed, F.lit(None).cast("binary"))
     out = docs.withColumns({text: binary("text"), spans: F.array().cast("array<array<int>>"), items: F.array().cast("array<string>"), words: F.lit(0).cast("long")})
-    for block in _blocks(benchmark) or [[]]:
-        automaton = Automaton(block, window)
+    for number, block in enumerate(blocks):
+        automaton, last = Automaton(block, window), number == len(blocks) - 1
 
-        def run(b: pa.RecordBatch, automaton: Automaton = automaton) -> pa.RecordBatch:
+        def run(b: pa.RecordBatch, automaton: Automaton = automaton, last: bool = last) -> pa.RecordBatch:
             at = [b.schema.get_field_index(c) for c in (text, spans, items, words)]
-            got = {i: [] for i in at[1:]}
+            new = b.schema.get_field_index(trimmed) if trimmed and last else None
+            got = {i: [] for i in (*at[1:], *([new] if new is not None else []))}
             for t, old, ids in zip(*(b.column(i).to_pylist() for i in at[:3]), strict=True):
                 w = plain_words(t)
                 hit, found = automaton.match(w)
-                got[at[1]].append(merged([*map(tuple, old), *hit]))
+                hits = merged([*map(tuple, old), *hit])
+                got[at[1]].append(hits)
+                if new is not None:
+                    long = [h for h in hits if h[1] - h[0] >= shortest]
+                    got[new].append(cut(t, long) if long else None)
                 got[at[2]].append(sorted(found.union(ids)))
                 got[at[3]].append(len(w))
             return pa.record_batch([pa.array(got[i], f.type) if i in got else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
@@ -191,19 +200,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shortest: int
     Hit stretches of `shortest` words or more are cut out of the text, n_chars (where there is one) follows. Rows of
     which more than the share `coverage` of all words is hit go. Rows without hits stay as they are, to the byte.
     """
-    spans, items, words, out = (free_name(docs, x) for x in ("spans", "items", "words", "out"))
-    found = matches(docs, benchmark, window, spans, items, words)
+    spans, items, words, out, raw = (free_name(docs, x) for x in ("spans", "items", "words", "out", "trimmed"))
+    found = matches(docs, benchmark, window, spans, items, words, raw, shortest)
     found = found.where(n_hit(spans) <= F.col(words) * coverage)
-    changed = F.exists(spans, lambda s: s[1] - s[0] >= shortest)
-    raw = free_name(found, "bytes")
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, cuts = b.column(b.num_columns - 1).to_pylist(), b.column(b.schema.get_field_index(spans)).to_pylist()
-        new = [None if t is None else cut(t, [s for s in c if s[1] - s[0] >= shortest]) for t, c in zip(texts, cuts, strict=True)]
-        return pa.record_batch([*b.columns[:-1], pa.array(new, b.schema.field(b.num_columns - 1).type)], schema=b.schema)
-
-    found = found.withColumn(raw, F.when(changed, binary("text")))
-    found = map_arrow(found, run, StructType(found.schema.fields))
     text = F.when(F.col(raw).isNotNull(), F.decode(raw, "UTF-8")).otherwise(F.col("text"))
     found = found.withColumn(out, text).withColumn("text", F.col(out))
     if "n_chars" in docs.columns:

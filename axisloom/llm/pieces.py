@@ -8,7 +8,7 @@ every piece. The vocabulary file is a parameter and of fixed size; it is read by
 Blanks become U+2581 and one is put in front of each text, empty ones included, as the format has it; nothing else is normalised.
 U+2581 itself is spelled in bytes, so that decoding gives every text back to the byte. If no piece runs over a blank
 that follows another character (checked as the model is read), the best segmentation of a text is made of those of its
-blank-led words; each worker then remembers words it has seen, up to REMEMBER of them, and forgets those that haven't come up for longest.
+blank-led words; each task then remembers words it has seen, up to REMEMBER of them, and forgets those that haven't come up for longest.
 
 With a model of the BPE kind the scores are its merge ranks: the result is the best-scoring segmentation, which is not
 always the one that merging would find. Null texts have null ids, empty ones an empty list; repeated rows and ties get equal
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import free_name, map_arrow
+from .common import at_end, free_name, map_arrow
 
 BLANK = "▁"
-#: Words that a worker remembers at most.
+#: Words that a task remembers at most.
 REMEMBER = 200_000
 
 
@@ -58,7 +58,7 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes; made once in each worker."""
+    """Encodes and decodes; made once in each task."""
 
     def __init__(self, v: Vocabulary):
         self.automaton = ahocorasick.Automaton()
@@ -142,6 +142,7 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
+at_end.append(_coders.clear)
 
 
 def coder(digest: str, vocabulary: Vocabulary) -> Coder:
