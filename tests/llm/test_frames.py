@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,24 @@ def test_pii(docs, empty, spark):
     assert pii.replaced(docs).columns == docs.columns and pii.replaced(empty).count() == 0 and pii.report(docs).count() == len(TEXTS)
 
 
+def test_pii_alone_in_its_text(spark):
+    phones = ["+1 415 555 2671", "+1 (415) 555 2671", "+44 20 794 0958", "+1 41 555 2671", "+14155552671", "+1.415.555.2671", "(415) 555-2671", "(415)555-2671", "415-555-2671"]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "4111 1111 1111 1", "3782 8224 6310 005"]
+    secrets = ["0123456789abcdef" * 2, "AKIA" + "A1B2" * 4, *(f"gh{c}_" + "aB1" * 12 for c in "pousr"), "sk-" + "aB1xY" * 4]
+    others = ["078-05-1120", "1.1.1.1", "255.10.0.7", "é@x.de", "Dr Smith", "Г-жа Иванова", "Jean Dupont", "Νίκος Παππάς"]
+    forms = phones + cards + secrets + others
+    df = spark.createDataFrame([(i, f"so {m} is") for i, m in enumerate(forms)], SCHEMA)
+    got = {forms[r["doc_id"]]: (r["n_entities"], r["text"]) for r in pii.report(df).collect()}
+    assert [m for m, (n, text) in got.items() if n != 1 or m in text] == []
+
+
+def test_pii_hint_is_in_all_that_the_pattern_finds(spark):
+    random = Random(1)
+    texts = ["".join(random.choice(["+1", "4111", "415", "555", "20", "7", "(", ")", " ", " ", "-", "-", "."]) for _ in range(random.randint(5, 9))) for _ in range(40_000)]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").where(F.col("text").rlike(pii.PATTERN))
+    assert found.count() > 1000 and found.where(~F.col("text").rlike(pii._HINT)).count() == 0
+
+
 def test_permutations_keep_things_apart(spark):
     df = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("a"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("b"), F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 256).cast("string"), (F.col("id") % 256).cast("string")).alias("ip"))
     made = df.select(pii.permuted(F.col("a"), [pii.DIGITS], "t", "k").alias("a"), pii.permuted(F.col("b"), [pii.DIGITS, pii.LATIN], "t", "k").alias("b"), pii.surrogate(F.col("ip")).alias("ip"))
