@@ -252,6 +252,27 @@ def test_passages(spark):
     assert passages.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_passages_in_crowds(spark):
+    import random
+
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    rows, want = [], {}
+    for g in range(6):
+        line = some(40)
+        for i in range(30):
+            rows.append((g * 100 + i, " ".join(some(60) + line + some(60))))
+        for i in range(30, 40, 2):
+            before, after = some(5), some(5)
+            for j in (i, i + 1):
+                rows.append((g * 100 + j, " ".join(some(60) + before + line + after + some(60))))
+                want[g * 100 + j] = g * 100 + i
+    got = {r["doc_id"]: r for r in passages.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, low in want.items() if (got[i]["class_id"], got[i]["spans"], got[i]["n_links"]) != (low, "60-110", 1)] == []
+    assert all(got[i]["n_repeated"] == 0 for i, _ in rows if i not in want)
+
+
 def test_licenses(docs, empty, spark):
     got = licenses.report(docs).collect()
     assert len(got) == len(TEXTS) and all(r["n_licenses"] == 0 for r in got) and licenses.report(empty).count() == 0
