@@ -166,7 +166,8 @@ def report(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
 
 #: Bands of the MinHash signature and rows of a band: at similarity 0.8 a pair shares a band with probability 0.998.
 BANDS, ROWS = 12, 4
-#: Texts of one band up to which all pairs are verified; in larger ones each is verified against four pivots.
+#: Texts of one band up to which all pairs are verified; in larger ones each is verified against four pivots, and then
+#: against all texts that the links found so far don't join it to.
 GATHERING = 8
 _MULTIPLY = np.array([xxhash.xxh64_intdigest(f"minhash {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -238,13 +239,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(nodes.select("digest", "doc_id"), "digest")
     texts = plain.withColumnRenamed("doc_id", "id").join(wanted.withColumnsRenamed({"digest": "of", "doc_id": "wanted"}), F.col("id").eqNullSafe(F.col("wanted")) & (F.col("digest") == F.col("of")))
     texts = saved(texts.groupBy("digest").agg(F.first("text").alias("text")))
-    whole = pairs.join(texts.withColumnsRenamed({"digest": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"digest": "b", "text": "right"}), "b").select("a", "b", "left", "right")
 
     def verified(b: pa.RecordBatch) -> pa.RecordBatch:
         good = np.array(_similarities(b.column(2).to_pylist(), b.column(3).to_pylist(), k)) >= similarity
         return b.select(["a", "b"]).filter(pa.array(good))
 
-    groups = components(map_arrow(whole, verified, "a string, b string"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        whole = pairs.join(texts.withColumnsRenamed({"digest": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"digest": "b", "text": "right"}), "b").select("a", "b", "left", "right")
+        return saved(map_arrow(whole, verified, "a string, b string"))
+
+    # Pivots join what is like them; within a crowded band all pairs that hang together by no link yet are verified too.
+    edges = similar(pairs)
+    groups = saved(components(edges))
+    crowd = met.where(F.col("n") > GATHERING).select("band", "key", "digest").join(groups.withColumnRenamed("node", "digest"), "digest", "left")
+    crowd = saved(crowd.withColumn("component", F.coalesce("component", "digest")))
+    mixed = crowd.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
+    if not mixed.isEmpty():
+        crowd = crowd.join(mixed, ["band", "key"])
+        others = crowd.withColumnsRenamed({"digest": "b", "component": "other"})
+        more = crowd.withColumnRenamed("digest", "a").join(others, ["band", "key"]).where("a < b and component <> other").select("a", "b").distinct()
+        groups = components(edges.union(similar(more.join(pairs, ["a", "b"], "left_anti"))))
     named = saved(groups.join(nodes, groups["node"] == nodes["digest"]).select("digest", "doc_id", "component"))
     low = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("keeper"))
     of = lookup(named, low, "component").select("digest", "keeper")

@@ -165,6 +165,23 @@ def test_near_duplicates(spark):
     assert simhash.one_of_each(again).count() == 1
 
 
+def test_near_duplicates_in_a_family(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    page = [word() for _ in range(200)]
+    rows = [(i, " ".join(page + [word() for _ in range(40)])) for i in range(150)]
+    for i in range(150, 210, 2):
+        one = page + [word() for _ in range(40)]
+        other = list(one)
+        for at in rnd.sample(range(10, 230, 10), 4):
+            other[at] = word()
+        rows += [(i, " ".join(one)), (i + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {*range(150), *range(150, 210, 2)}
+
+
 def test_quality(docs, empty, labels, spark):
     got = quality.judge(docs, labels).collect()
     assert len(got) == len(TEXTS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
