@@ -290,6 +290,20 @@ def test_passages_in_crowds(spark):
     assert all(got[i]["n_repeated"] == 0 for i, _ in rows if i not in want)
 
 
+def test_passages_in_longer_versions(spark):
+    import random
+
+    rnd = random.Random(9)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(20):
+        passage = some(60)
+        longer = passage + some(10)
+        rows += [(g * 10 + i, " ".join(some(70) + p + some(70))) for i, p in enumerate([passage, longer, longer])]
+    got = {r["doc_id"]: r for r in passages.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, _ in rows if (got[i]["spans"], got[i]["n_links"]) != ("70-140" if i % 10 else "70-130", 2)] == []
+
+
 def test_licenses(docs, empty, spark):
     got = licenses.report(docs).collect()
     assert len(got) == len(TEXTS) and all(r["n_licenses"] == 0 for r in got) and licenses.report(empty).count() == 0
