@@ -304,6 +304,13 @@ def test_passages_in_longer_versions(spark):
     assert [i for i, _ in rows if (got[i]["spans"], got[i]["n_links"]) != ("70-140" if i % 10 else "70-130", 2)] == []
 
 
+def test_passages_are_found_at_the_limit():
+    from math import comb
+
+    missed = sum(comb(passages.HASHES, i) * 0.8**i * 0.2 ** (passages.HASHES - i) for i in range(passages.ENOUGH))
+    assert missed <= 0.002 and len(passages._MULTIPLY) == passages.HASHES
+
+
 def test_licenses(docs, empty, spark):
     got = licenses.report(docs).collect()
     assert len(got) == len(TEXTS) and all(r["n_licenses"] == 0 for r in got) and licenses.report(empty).count() == 0
