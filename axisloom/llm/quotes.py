@@ -12,8 +12,9 @@ doubling, and a conversation is read by (thread, turn): every reply comes after
 
 Originals are one row for each hash (and conversation), so that a line that a third of all messages hold joins like any
 other; sums come before joins. No conversation is gathered in one task. Null texts are empty; rows with a null conv_id or turn
-are roots of their own. Repeated rows each come out, with equal values. Hashes of units under LEAST characters don't
-count: short lines prove nothing. Other columns pass only if named.
+are roots of their own. Repeated rows each come out, with equal values. Units of every length are linked within their
+conversation; to other conversations only those of LEAST characters or more, as short lines prove nothing there. Units of
+white space alone aren't any. Other columns pass only if named.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, saved
 
-#: Characters of a normalised unit from which on it can be linked.
+#: Characters of a normalised unit from which on it can be linked to another conversation.
 LEAST = 12
 _MARKS = re.compile(r"^\s{0,3}((?:>[ \t]?)+)(.*)$", re.S)
 _INTRODUCTION = re.compile(r"(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$")
@@ -68,14 +69,14 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
         return []
     found = passages(text)
     whole = normal(own_text(text))
-    if len(whole) >= LEAST:
+    if whole:
         out[0, 0, _hash(whole)] = len(whole)
     for k, (depth, lines) in enumerate(found):
         parts = [" ".join(lines), *lines]
         if not depth:
             parts += re.split(r"\n\s*\n", "\n".join(lines))
         for unit in map(normal, parts):
-            if len(unit) >= LEAST:
+            if unit:
                 out[depth, k if depth else 0, _hash(unit)] = len(unit)
     return [(*key, n) for key, n in out.items()]
 
@@ -103,6 +104,7 @@ def linked(messages: DataFrame) -> DataFrame:
     first = saved(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")))
     anywhere = first.groupBy("hash").agg(F.min(F.struct("conv_id", "original")).alias("there"))
     met = quotes.join(first, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
+    met = met.withColumn("there", F.when(F.col("n") >= LEAST, F.col("there")))
     met = met.withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     # A passage counts once, by its longest linked unit.
     met = met.groupBy("conv_id", "turn", "depth", "passage").agg(F.max(F.when(F.col("original").isNotNull(), F.struct("n", "original"))).alias("best"), F.max((F.col("there").isNotNull() & ~F.col("there.conv_id").eqNullSafe(F.col("conv_id")))).alias("away"))

@@ -335,6 +335,13 @@ def test_quotes(spark):
     assert quotes.report(df.limit(0)).count() == 0
 
 
+def test_short_quotes(spark):
+    rows = [(1, 0, "u", "Do you?\nnp"), (1, 1, "a", "可以吗？"), (1, 2, "u", "> np\nfine"), (1, 3, "a", "> 可以吗？\n好"), (1, 4, "u", "> no such\nwell"), (2, 0, "u", "> np\nhm")]
+    by = {(r["conv_id"], r["turn"]): r for r in quotes.report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [(by[1, t]["parent"], by[1, t]["thread"], by[1, t]["n_quotes"]) for t in range(5)] == [(None, 0, 0), (None, 1, 0), (0, 0, 1), (1, 1, 1), (None, 4, 1)]
+    assert (by[2, 0]["n_quotes"], by[2, 0]["n_linked"], by[2, 0]["n_elsewhere"]) == (1, 0, 0)
+
+
 def _brute_url(url):
     if url is None or "://" not in url:
         return "", ""
