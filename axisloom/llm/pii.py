@@ -20,6 +20,8 @@ surrogates. Columns besides the text pass untouched (n_chars, where there is one
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,20 +219,19 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def syllables(docs: DataFrame, key: str = KEY, least: int = 3, most: int = 8) -> int:
+def syllables(docs: DataFrame, key: str = KEY, least: int = 3) -> int:
     """The smallest count of syllables for which all name parts of the corpus keep distinct, new surrogates."""
     text = F.col("text")
     found = docs.where(text.rlike(_NAMED))
     found = found.select(F.explode(F.regexp_extract_all(text, F.lit(_NAME), 0)).alias("m"))
     parts = found.select(F.explode(F.split(F.regexp_extract("m", _TITLED, 2), " ")).alias("w")).where(F.length("w") > 0)
     parts = parts.select(F.lower("w").alias("w")).distinct()
-    for n in range(least, most):
+    for n in count(least):  # every syllable has a hash of its own, so any two parts differ at some count
         made = parts.select("w", F.lower(spelled(F.col("w"), n, key)).alias("s"))
         twice = made.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
         taken = made.join(parts.select(F.col("w").alias("s")), "s", "left_semi")
         if twice.isEmpty() and taken.isEmpty():
             return n
-    return most
 
 
 def replaced(docs: DataFrame, key: str = KEY, n: int | None = None) -> DataFrame:

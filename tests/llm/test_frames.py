@@ -408,6 +408,13 @@ def test_pii_hint_is_in_all_that_the_pattern_finds(spark):
     assert found.count() > 1000 and found.where(~F.col("text").rlike(pii._HINT)).count() == 0
 
 
+def test_pii_syllables_until_names_differ(spark, monkeypatch):
+    plain = pii.spelled
+    monkeypatch.setattr(pii, "spelled", lambda word, n, key: plain(word, n, key) if n > 9 else F.lit("Same"))
+    df = spark.createDataFrame([(1, "Dr Alpha and Dr Beta")], SCHEMA)
+    assert pii.syllables(df, least=7) == 10
+
+
 def test_permutations_keep_things_apart(spark):
     df = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("a"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("b"), F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 256).cast("string"), (F.col("id") % 256).cast("string")).alias("ip"))
     made = df.select(pii.permuted(F.col("a"), [pii.DIGITS], "t", "k").alias("a"), pii.permuted(F.col("b"), [pii.DIGITS, pii.LATIN], "t", "k").alias("b"), pii.surrogate(F.col("ip")).alias("ip"))
