@@ -43,14 +43,14 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes a table that `saved` has written; nothing may read it any more."""
     jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # none of an empty table
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -147,14 +147,15 @@ def blank_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of rows with a table of one row for each key, however many rows a key has.
 
     Keys of over a thousandth of the rows (and over 1000) are 1000 at most; their rows stay where they are and meet a
-    broadcast of those few. All others are an ordinary join.
+    broadcast of those few. All others are an ordinary join. `counts` is (key, n), where the rows of each key are known already.
     """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     least = max(1000, left.count() // 1000)
-    hot = saved(left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key))
+    hot = saved(counts.where(F.col("n") >= least).select(key))
     if hot.isEmpty():
         return left.join(right, key)
     few = F.broadcast(hot)
@@ -166,20 +167,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round is a few shuffles of the edges, and the number of rounds grows
     with the logarithm of the longest path. Rounds end in a written table. Loops and repeated edges don't matter.
-    A hub is joined to its neighbours by an equi-join whose large side adaptive execution can split.
+    Hubs are looked up where their edges are, so that no task gets all neighbours of one.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = saved(edges.distinct())
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(down, "a").where("b <> low").select(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b"))
-        edges = saved(small.union(down.select("a", F.col("low").alias("b"))).distinct())
+        low = saved(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
+        large = lookup(both, low.drop("n"), "a", low.select("a", "n")).where("b > a").select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
+        large = saved(large.where("a <> b").distinct())
+        down = saved(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
+        small = lookup(large, down.drop("n"), "a", down.select("a", "n")).where("b <> low").select(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b"))
+        old, edges = edges, saved(small.union(down.select("a", F.col("low").alias("b"))).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        for t in (old, low, large, down):
+            dropped(t)
         if now == before:
             break
         before = now
