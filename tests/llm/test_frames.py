@@ -308,6 +308,16 @@ def test_passages_are_found_at_the_limit():
     assert 0.2**passages.HASHES <= 0.002 and len(passages._MULTIPLY) == passages.HASHES
 
 
+def test_runs():
+    import numpy as np
+
+    h = np.arange(100, dtype=np.uint64) ** 3 + np.uint64(7)
+    for width in (1, 2, 3, 23, 46, 100, 101):
+        got = passages.runs(h, width)
+        assert len(got) == max(0, 100 - width + 1) and len(set(got.tolist())) == len(got)
+        assert (passages.runs(h[5:], width) == got[5:]).all()
+
+
 @pytest.mark.parametrize(("header", "own"), [(40, 25), (48, 12)])
 def test_passages_behind_a_common_header(spark, header, own):
     rnd = Random(header)
