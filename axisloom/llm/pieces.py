@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reads a text once. At each position its output links name every piece that ends there; each of them
-relaxes the best score of a segmentation up to that position. Among equal scores the longest last piece wins. A
-character that no piece covers becomes byte pieces (or the unknown piece, if the model has none) at a score below that of
-every piece. The vocabulary file is a parameter and of fixed size; it is read by the driver and goes to the workers.
+relaxes the best score of a segmentation up to that position. What the score is depends on the kind of the model:
+
+* unigram: the sum of the pieces' log-probabilities; among equal scores the longest last piece wins.
+* BPE: its scores are merge ranks, whose sum means nothing. A segmentation is the one that merging finds exactly if each two
+  neighbouring pieces are what merging makes of the two alone. So a piece relaxes a position (from no score to one) if it
+  fits behind the last piece of the best segmentation before it; for each position there is one such piece. Whether
+  two pieces fit is found by merging those two, once. Ids are those of the `sentencepiece` library.
+
+A character that no piece covers becomes byte pieces (or the unknown piece, if the model has none). The vocabulary
+file is a parameter and of fixed size; it is read by the driver and goes to the workers.
 
 Blanks become U+2581 and one is put in front of each text, empty ones included, as the format has it; nothing else is normalised.
 U+2581 itself is spelled in bytes, so that decoding gives every text back to the byte. If no piece runs over a blank
 that follows another character (checked as the model is read), the best segmentation of a text is made of those of its
 blank-led words; each task then remembers words it has seen, up to REMEMBER of them, and forgets those that haven't come up for longest.
 
-With a model of the BPE kind the scores are its merge ranks: the result is the best-scoring segmentation, which is not
-always the one that merging would find. Null texts have null ids, empty ones an empty list; repeated rows and ties get equal
-ids; other columns pass untouched.
+Null texts have null ids, empty ones an empty list; repeated rows and ties get equal ids; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -35,6 +40,37 @@ BLANK = "▁"
 REMEMBER = 200_000
 
 
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol buffer message: integers and bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def _kind(model: bytes) -> int:
+    """What a model file says of itself: 1 unigram, 2 BPE, 3 words, 4 characters. Field 3 of field 2."""
+    return next((v for n, spec in _fields(model) if n == 2 for m, v in _fields(spec) if m == 3), 1)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     pieces: tuple[str, ...]
@@ -44,6 +80,9 @@ class Vocabulary:
     unknown: int = 0
     name: str = field(default="", compare=False)
 
+    #: Merge ranks instead of log-probabilities.
+    merging: bool = False
+
     @staticmethod
     def read(path: str) -> Vocabulary:
         import sentencepiece
@@ -51,10 +90,10 @@ class Vocabulary:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
         kinds = "".join("b" if m.is_byte(i) else "-" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "n" for i in ids)
-        return Vocabulary(tuple(map(m.id_to_piece, ids)), tuple(map(m.get_score, ids)), kinds, m.unk_id())
+        return Vocabulary(tuple(map(m.id_to_piece, ids)), tuple(map(m.get_score, ids)), kinds, m.unk_id(), merging=_kind(m.serialized_model_proto()) == 2)
 
     def digest(self) -> str:
-        return hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.unknown)).encode()).hexdigest()
+        return hashlib.sha256(repr((self.pieces, self.scores, self.kinds, self.unknown, self.merging)).encode()).hexdigest()
 
 
 class Coder:
@@ -74,6 +113,9 @@ class Coder:
         inside = any(BLANK in v.pieces[i].lstrip(BLANK) for i in normal)
         lines = any("\n" in v.pieces[i] for i in normal)
         self.word = None if inside else re.compile(r" +[^ ]*|[^ ]+" if lines else r" +[^ \n]*|\n|[^ \n]+")
+        #: BPE: the rank of each piece, and whether pairs of pieces fit.
+        self.rank = {v.pieces[i]: v.scores[i] for i in normal} if v.merging else None
+        self.fitting: dict[tuple[str, str], bool] = {}
         #: Words seen of late, and those of the time before.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -84,6 +126,8 @@ class Coder:
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of `text`, in which blanks are still blanks."""
+        if self.rank is not None:
+            return self._fitted(text)
         shown = text.replace(BLANK, "\0").replace(" ", BLANK)  # U+2581 of the text itself must match no piece
         own = {i for i, c in enumerate(text) if c == BLANK} if BLANK in text else ()
         n = len(shown)
@@ -112,6 +156,56 @@ class Coder:
             at -= long
         return [i for part in reversed(out) for i in part]
 
+    def merged(self, text: str) -> list[str]:
+        """The parts that are left when the neighbours of the best rank, the leftmost first, are merged while there are any."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranks = [self.rank.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(ranks)
+            if best == -np.inf:
+                break
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _fits(self, before: str, piece: str) -> bool:
+        pair = (before, piece)
+        found = self.fitting.get(pair)
+        if found is None:
+            if len(self.fitting) >= 2 * REMEMBER:
+                self.fitting.clear()
+            found = self.fitting[pair] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def _fitted(self, text: str) -> list[int]:
+        """Ids of the only segmentation in which all neighbours fit."""
+        shown = text.replace(BLANK, "\0").replace(" ", BLANK)
+        n = len(shown)
+        last: list[str] = [""] * (n + 1)
+        ids: list[int | None] = [None] * (n + 1)
+        done = 0
+
+        def single_up_to(end: int) -> None:
+            nonlocal done
+            while done < end:
+                done += 1
+                if not last[done]:
+                    last[done] = shown[done - 1]
+
+        for stop, (long, _, piece) in self.automaton.iter(shown) if self.normal else ():
+            end = stop + 1
+            single_up_to(end - 1)
+            if not last[end]:
+                own = shown[end - long : end]
+                if self._fits(last[end - long], own):
+                    last[end], ids[end] = own, piece
+        single_up_to(n)
+        out, at = [], n
+        while at:
+            out.append([ids[at]] if ids[at] is not None else self._spell(text[at - 1]))
+            at -= len(last[at])
+        return [i for part in reversed(out) for i in part]
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
