@@ -188,6 +188,14 @@ def with_features(at: DataFrame, folder: str) -> DataFrame:
     return _read(at, folder, of, "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def payloads(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256) of every row, without storing anything: what the stored payloads must give back."""
+    data = binary("text")
+    size = F.greatest(F.ceil(F.length(data) / WIDTH) * WIDTH, F.lit(WIDTH)).cast("long")
+    padded = F.concat(data, F.unhex(F.repeat(F.lit("00"), (size - F.length(data)).cast("int"))))
+    return docs.select(F.col("doc_id").cast("long"), F.length(data).cast("long").alias("n_bytes"), size.alias("payload_bytes"), F.sha2(padded, 256).alias("payload_sha256"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height) of every row."""
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"

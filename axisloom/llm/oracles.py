@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import plain_words
 from .licenses import LEAST, SHINGLE, TEMPLATES, TIERS
+from .urls import RULES
 
 _PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -48,5 +49,26 @@ SELECT doc_id, coalesce(k, 0)::BIGINT AS n_licenses, coalesce(names, '') AS lice
 """
 
 
+def url_rules_sql(rules=RULES) -> str:
+    rows = ", ".join(f"('{what}', '{h}', '{p}')" for what, h, p in rules)
+    return rf"""
+WITH rule(verdict, h, p) AS (VALUES {rows}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+part AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM rest),
+fits AS (SELECT k, h || p AS rule, verdict FROM part, rule WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, verdict AS rule_verdict FROM part LEFT JOIN best USING (k)
+"""
+
+
+MEDIA = """
+WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+size AS (SELECT doc_id, b, octet_length(b) AS n, greatest(64, ((octet_length(b) + 63) // 64) * 64) AS m FROM doc)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(b || repeat(unhex('00'), m - n)) AS payload_sha256 FROM size
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op4_licenses": licenses_sql()}
+    return {"op1_decontamination": OP1, "op4_licenses": licenses_sql(), "url_rules": url_rules_sql(), "media_payloads": MEDIA}

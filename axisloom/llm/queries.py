@@ -56,6 +56,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 takes from rules alone."""
+    return urls.parts(table(spark, sf_dir, "pages"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the payloads that op7 stores must be."""
+    return media.payloads(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,5 +73,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_quotes, op3_urls, op4_licenses, op5_simhash, op6_pieces, op7_media, op8_passages, op9_pii, op10_quality, pipeline)
+    found = (op1_decontamination, op2_quotes, op3_urls, op4_licenses, op5_simhash, op6_pieces, op7_media, op8_passages, op9_pii, op10_quality, pipeline, url_rules, media_payloads)
     return {f.__name__: f for f in found}

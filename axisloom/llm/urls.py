@@ -11,6 +11,7 @@ is allowed. Other columns pass untouched by `judged`.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,26 +20,52 @@ from pyspark.sql import functions as F
 from .common import saved
 
 MAX_LABELLED = 500
-BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (3, 4), 200, 8.0, 0.0005
+BUCKETS, GRAM, STEPS, RATE, DECAY = 16384, (2, 4), 200, 8.0, 0.0005
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-# Hosts of the small labelled table that the query trains on, without scheme, prefix, ending and path.
-UNWANTED = (
-    "casino-bonus best-casino casino-win online-casino free-bets sports-bets bets-now free-money "
-    "ads-server ads-track click-track ads-click spam-links link-farm spam-farm spam-mail "
-    "cheap-pills pills-online cheap-meds buy-pills adult-video xxx-adult adult-x adult-chat"
-).split()
+# The small labelled table that the query trains on. Wanted: public sites of reference, news, science, government,
+# culture and software. Unwanted: made-up names of the kinds that public block lists name (gambling, adult, pharmacy
+# spam, piracy, scams, advertising), with beginnings and ends in turn. No host of a test table is among them.
 WANTED = (
-    "library garden city-news weather python-docs university museum thoughts recipes science "
-    "health travel music history nature theatre thing therapy times station "
-    "mathematics school another them there thinking nation thesis edition fiction question tradition"
+    "en.wikipedia.org en.wiktionary.org archive.org arxiv.org www.nature.com www.sciencedirect.com www.jstor.org www.nasa.gov www.noaa.gov www.nih.gov www.cdc.gov www.who.int "
+    "www.un.org europa.eu www.loc.gov www.si.edu web.mit.edu www.stanford.edu www.harvard.edu www.berkeley.edu www.ox.ac.uk www.cam.ac.uk ethz.ch home.cern "
+    "www.bbc.co.uk www.theguardian.com www.nytimes.com www.washingtonpost.com www.reuters.com apnews.com www.lemonde.fr www.spiegel.de elpais.com www.corriere.it www.npr.org www.pbs.org "
+    "www.economist.com docs.python.org www.rust-lang.org go.dev www.kernel.org www.gnu.org www.debian.org ubuntu.com developer.mozilla.org www.w3.org www.ietf.org www.apache.org "
+    "github.com gitlab.com stackexchange.com readthedocs.io www.postgresql.org www.sqlite.org www.britannica.com www.gutenberg.org openlibrary.org www.worldcat.org www.nationalgeographic.com "
+    "www.smithsonianmag.com www.science.org www.pnas.org plos.org link.springer.com onlinelibrary.wiley.com dl.acm.org www.ieee.org www.ams.org www.aps.org www.rsc.org www.mayoclinic.org "
+    "www.weather.gov www.usgs.gov www.epa.gov www.census.gov data.gov www.gov.uk www.parliament.uk www.legislation.gov.uk www.bundestag.de www.admin.ch www.canada.ca www.australia.gov.au "
+    "www.nps.gov www.metmuseum.org www.louvre.fr www.rijksmuseum.nl www.moma.org www.tate.org.uk www.allrecipes.com www.seriouseats.com www.kingarthurbaking.com www.ravelry.com "
+    "www.imdb.com www.goodreads.com www.lonelyplanet.com www.openstreetmap.org www.chess.com www.espn.com www.olympics.com medium.com wordpress.org www.khanacademy.org www.coursera.org "
+    "www.edx.org www.duolingo.com www.scientificamerican.com www.newscientist.com www.theatlantic.com www.newyorker.com www.ft.com www.bloomberg.com www.lefigaro.fr www.liberation.fr "
+    "www.faz.net www.sueddeutsche.de www.zeit.de www.elmundo.es www.abc.es www.repubblica.it www.asahi.com www.abc.net.au www.cbc.ca www.rte.ie www.scielo.br www.redalyc.org "
+    "www.gardenersworld.com www.rhs.org.uk www.mathworks.com mathoverflow.net www.physicsforums.com www.biography.com www.history.com www.poetryfoundation.org www.philosophynow.org "
+    "www.cookinglight.com www.runnersworld.com www.cyclingnews.com www.birdlife.org www.nationaltrust.org.uk www.britishmuseum.org www.vam.ac.uk www.bl.uk www.bnf.fr www.dnb.de "
+    "www.crossref.org pubmed.ncbi.nlm.nih.gov www.ebi.ac.uk www.ensembl.org www.rcsb.org www.genome.gov www.cancer.org www.heart.org www.redcross.org www.unicef.org www.unesco.org "
+    "www.worldbank.org www.imf.org www.oecd.org www.ecb.europa.eu www.federalreserve.gov www.consumerreports.org www.php.net sourceforge.net www.researchgate.net www.speedtest.net www.behance.net stackoverflow.blog www.bmj.com www.thelancet.com www.cell.com www.frontiersin.org"
+).split()
+UNWANTED = (
+    "royalcasinoslots megaslotsbonus pokerjackpot777 playroulettelive luckyslots24 vegascasinoclub bestbettingtips sportsbookwinner blackjackbonus bingojackpots "
+    "onlineslotmachines freespinscasino lottowinnersclub highrollerpoker betandwinbig cryptocasinobonus slotsofgold jackpotcity777 roulettesystem pokerchipsfree "
+    "hotxxxvideos freepornhub24 sexcamsclub nudegirlslive adultdatingnow xxxmoviesfree sexychatrooms escortgirls24 pornstarsclub hotmilfcams "
+    "nakedcamgirls xxxtubefree adultwebcams sexvideoshd eroticmassage24 hentaixxx livesexshow freesexdating pornvideosfree hookupsexclub "
+    "buyviagraonline cheapcialis24 discountpharmacyrx noprescriptionmeds genericviagrashop orderxanaxonline weightlosspillsnow buysteroidsonline dietpillsdiscount onlinepharmacycheap "
+    "tramadolnorx cheapviagradeals penisenlargepills miraclefatburner buycheapmedsonline rxpillstore ketodietpills slimmingpillsoffer pillshop24 canadianmedsrx "
+    "freetorrentmovies warezcracks keygenserials crackedsoftwarefree nulledscripts moviestreamfree24 torrentwarez serialkeysfree cracksdownload pirategames24 "
+    "fullcrackkeygen freemoviestorrents downloadwarez24 hackedgamesfree modapkcracked "
+    "paydayloansfast quickcashloans24 getrichquicknow makemoneyfast24 bitcoindoubler cryptoprofitbot freeiphonewinner claimyourprize freegiftcards24 workfromhomecash "
+    "replicawatchesshop fakerolexdeals luxuryreplicabags cheapreplicas instantcashwinner forexprofitsignals binaryoptionswin easyloansapproved winfreemoneynow doubleyourbitcoin "
+    "bestadsnetwork popunderads24 adclicktracker trackclicksnow adservercdn24 bannerexchange clickbaittraffic buybacklinkscheap seolinkfarm instantfollowers24 "
+    "cheaptrafficbot spamblaster bulkemailspam trackingpixelads popupadserver buyfollowerscheap linkexchangefarm autoclickbot fakereviewsshop massmailerspam"
 ).split()
-_PREFIXES, _ENDS, _PATHS = ("", "www.", "m.", "blog."), (".test", ".example.com", ".example.net", ".example.org"), ("/en/12", "/fr/340", "/de/7.html", "/es/85/")
+_STARTS, _ENDS = ("www.", "", "www.", "m."), (".com", ".org", ".net", ".co.uk", ".com", ".info", ".de", ".org", ".fr", ".com", ".edu", ".it", ".eu")
+_GOOD_PATHS, _BAD_PATHS = ("/wiki/Main_Page", "/articles/2019/05/report", "/about", "/research/publications.html", "", "/docs/tutorial/intro"), ("/free-bonus", "/buy-now", "/signup-today", "/hot/videos", "", "/download/full-version")
 
-#: (label, url), 1 for unwanted. Each host comes four times, and both kinds with the same prefixes, endings and paths in turn.
-LABELLED = tuple((y, f"http{'s' * (i % 2)}://{_PREFIXES[(i + j) % 4]}{h}{_ENDS[(i // 4 + j) % 4]}{_PATHS[(i + 3 * j) % 4]}") for y, hosts in ((1, UNWANTED), (0, WANTED)) for i, h in enumerate(hosts) for j in range(4))
+#: (label, url), 1 for unwanted: a URL of each host.
+LABELLED = tuple(
+    [(1, f"http{'s' * (i % 2)}://{_STARTS[i % 4]}{h}{_ENDS[i % 13]}{_BAD_PATHS[i % 6]}") for i, h in enumerate(UNWANTED)] + [(0, f"http{'s' * (i % 2)}://{h}{_GOOD_PATHS[i % 6]}") for i, h in enumerate(WANTED)]
+)
 
 
 def host(url: Column) -> Column:
@@ -77,8 +104,14 @@ class Model:
         return 1 / (1 + F.exp(-(F.lit(self.intercept) + total)))
 
 
-def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, y) for y, u in LABELLED], "url string, label int")
+def labelled(spark: SparkSession, rows=LABELLED) -> DataFrame:
+    return spark.createDataFrame([(u, y) for y, u in rows], "url string, label int")
+
+
+def split(rows=LABELLED) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """The labelled rows that teach and those of a fourth of the hosts, by the hash of the host's name, that are held out."""
+    held = [zlib.crc32(u.split("/")[2].encode()) % 4 == 0 for _, u in rows]
+    return [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
 
 
 def train(rows: DataFrame) -> Model:
@@ -130,6 +163,13 @@ def judged(pages: DataFrame, model: Model, rules=RULES, threshold: float = 0.5)
     return pages.withColumns({"host": h, "path": p, "rule": name, "score": score, "verdict": F.coalesce(verdict, F.when(score > threshold, "block").otherwise("allow"))})
 
 
+def parts(pages: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, rule_verdict) of every row: what the rules say, without the model."""
+    h, p = host(F.col("url")), path(F.col("url"))
+    name, verdict = rule(h, p)
+    return pages.select("page_id", h.alias("host"), p.alias("path"), name.alias("rule"), verdict.alias("rule_verdict"))
+
+
 def report(pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row."""
     model = train(labelled(pages.sparkSession) if rows is None else rows)
