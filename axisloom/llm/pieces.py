@@ -103,7 +103,7 @@ class Coder:
         self.automaton = ahocorasick.Automaton()
         normal = [i for i, k in enumerate(v.kinds) if k == "n" and v.pieces[i]]
         for i in normal:
-            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i))
+            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i, v.pieces[i]))
         if normal:
             self.automaton.make_automaton()
         self.bytes = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == "b"}
@@ -113,9 +113,10 @@ class Coder:
         inside = any(BLANK in v.pieces[i].lstrip(BLANK) for i in normal)
         lines = any("\n" in v.pieces[i] for i in normal)
         self.word = None if inside else re.compile(r" +[^ ]*|[^ ]+" if lines else r" +[^ \n]*|\n|[^ \n]+")
-        #: BPE: the rank of each piece, and whether pairs of pieces fit.
-        self.rank = {v.pieces[i]: v.scores[i] for i in normal} if v.merging else None
+        #: BPE: the rank of each piece (0 is merged first), whether pairs of pieces fit, and what a piece was merged from.
+        self.rank = {v.pieces[i]: r for r, i in enumerate(sorted(normal, key=lambda i: -v.scores[i]))} if v.merging else None
         self.fitting: dict[tuple[str, str], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         #: Words seen of late, and those of the time before.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -141,7 +142,7 @@ class Coder:
                 if score[done - 1] + self.below > score[done]:
                     score[done], back[done] = score[done - 1] + self.below, (1, None)
 
-        for last, (long, gain, piece) in self.automaton.iter(shown) if self.normal else ():
+        for last, (long, gain, piece, _) in self.automaton.iter(shown) if self.normal else ():
             end = last + 1
             spell_up_to(end - 1)
             if own and not own.isdisjoint(range(end - long, end)):
@@ -156,50 +157,69 @@ class Coder:
             at -= long
         return [i for part in reversed(out) for i in part]
 
-    def merged(self, text: str) -> list[str]:
-        """The parts that are left when the neighbours of the best rank, the leftmost first, are merged while there are any."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [self.rank.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max(ranks)
-            if best == -np.inf:
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The parts that are left when the neighbours of the best rank, the leftmost first, are merged while there are any, and over `least` parts."""
+        parts, none = list(text), len(self.rank)
+        while len(parts) > least:
+            ranks = [self.rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(ranks)
+            if best == none:
                 break
             at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, before: str, piece: str) -> bool:
-        pair = (before, piece)
-        found = self.fitting.get(pair)
-        if found is None:
-            if len(self.fitting) >= 2 * REMEMBER:
-                self.fitting.clear()
-            found = self.fitting[pair] = self.merged(before + piece) == ([before, piece] if before else [piece])
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of a piece joins; none if merging doesn't lead to it."""
+        if piece not in self.halves:
+            parts = self.merged(piece, 2)
+            self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[piece]
+
+    def _fits(self, pair: tuple[str, str]) -> bool:
+        """Whether merging both parts leaves them apart; the first may be empty."""
+        before, piece = pair
+        if len(self.fitting) >= 2 * REMEMBER:
+            self.fitting.clear()
+        found = self.fitting[pair] = (len(piece) == 1 or self._halves(piece) is not None) and (not before or self._apart(before, piece))
         return found
 
+    def _apart(self, x: str, y: str) -> bool:
+        """Going back merge by merge, the later one first, no piece over the border comes before the merge that is undone."""
+        rank, none = self.rank, len(self.rank)
+        until = none  # of equal ranks the leftmost is merged first: within x before over the border, there before within y
+        while rank.get(x + y, none) >= until:
+            of_x, of_y = rank[x] if len(x) > 1 else -1, rank[y] if len(y) > 1 else -1
+            if of_x == of_y == -1:
+                return True
+            if of_x > of_y:
+                until, x = of_x, self._halves(x)[1]
+            else:
+                until, y = of_y + 1, self._halves(y)[0]
+        return False
+
     def _fitted(self, text: str) -> list[int]:
         """Ids of the only segmentation in which all neighbours fit."""
         shown = text.replace(BLANK, "\0").replace(" ", BLANK)
         n = len(shown)
         last: list[str] = [""] * (n + 1)
         ids: list[int | None] = [None] * (n + 1)
-        done = 0
-
-        def single_up_to(end: int) -> None:
-            nonlocal done
-            while done < end:
+        done, fitting = 0, self.fitting
+        for stop, (long, _, piece, own) in self.automaton.iter(shown) if self.normal else ():
+            if last[stop + 1]:
+                continue
+            while done < stop:  # a place that no piece reaches is reached by its character
                 done += 1
                 if not last[done]:
                     last[done] = shown[done - 1]
-
-        for stop, (long, _, piece) in self.automaton.iter(shown) if self.normal else ():
-            end = stop + 1
-            single_up_to(end - 1)
-            if not last[end]:
-                own = shown[end - long : end]
-                if self._fits(last[end - long], own):
-                    last[end], ids[end] = own, piece
-        single_up_to(n)
+            pair = (last[stop + 1 - long], own)
+            fits = fitting.get(pair)
+            if self._fits(pair) if fits is None else fits:
+                last[stop + 1], ids[stop + 1] = own, piece
+        while done < n:
+            done += 1
+            if not last[done]:
+                last[done] = shown[done - 1]
         out, at = [], n
         while at:
             out.append([ids[at]] if ids[at] is not None else self._spell(text[at - 1]))
