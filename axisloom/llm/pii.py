@@ -277,7 +277,7 @@ def pattern(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """All entities of a text, in order."""
-    found = F.when(text.rlike(_NAMED), F.regexp_extract_all(text, pattern(text), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.regexp_extract_all(text, pattern(text), F.lit(0))
     return F.when(text.rlike(_HINT), F.filter(found, lambda m: kind(m).isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
@@ -306,9 +306,9 @@ def replaced(docs: DataFrame, key: str = KEY, n: int | None = None) -> DataFrame
         found = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m: surrogate(m, n, key))
         return F.array_join(F.zip_with(F.split(text, p, F.lit(-1)), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    mine = free_name(docs, "pattern")  # but for texts with names a constant, compiled once
-    out = docs.withColumn(mine, F.when(text.rlike(_NAMED), pattern(text)))
-    out = out.withColumn(new, F.when(~text.rlike(_HINT), text).otherwise(F.when(F.col(mine).isNotNull(), put(F.col(mine))).otherwise(put(F.lit(PATTERN)))))
+    mine = free_name(docs, "pattern")
+    out = docs.withColumn(mine, F.when(text.rlike(_HINT), pattern(text)))
+    out = out.withColumn(new, F.when(F.col(mine).isNull(), text).otherwise(put(F.col(mine))))
     out = out.withColumn("text", F.col(new))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
