@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -220,11 +221,15 @@ class Coder:
             done += 1
             if not last[done]:
                 last[done] = shown[done - 1]
-        out, at = [], n
-        while at:
-            out.append([ids[at]] if ids[at] is not None else self._spell(text[at - 1]))
-            at -= len(last[at])
-        return [i for part in reversed(out) for i in part]
+        out: list[int] = []
+        while n:
+            if (piece := ids[n]) is None:
+                out += reversed(self._spell(text[n - 1]))
+            else:
+                out.append(piece)
+            n -= len(last[n])
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -240,7 +245,7 @@ class Coder:
             for w in words:
                 ids = known.get(w)
                 if ids is None:
-                    ids = self.older.get(w) or np.array(self.best(w), np.int32).tobytes()
+                    ids = self.older.get(w) or array("i", self.best(w)).tobytes()
                     if len(w) <= 64:
                         if len(known) >= REMEMBER // 2:
                             self.older, self.known = known, {}
