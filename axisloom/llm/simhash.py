@@ -167,7 +167,7 @@ def report(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
 #: Bands of the MinHash signature and rows of a band: at similarity 0.8 a pair shares a band with probability 0.998.
 BANDS, ROWS = 12, 4
 #: Texts of one band up to which all pairs are verified; in larger ones each is verified against four pivots, and then
-#: against all texts that the links found so far don't join it to.
+#: against all texts that a prefix filter leaves and the links found so far don't join it to.
 GATHERING = 8
 _MULTIPLY = np.array([xxhash.xxh64_intdigest(f"minhash {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
@@ -248,23 +248,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
         whole = pairs.join(texts.withColumnsRenamed({"digest": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"digest": "b", "text": "right"}), "b").select("a", "b", "left", "right")
         return saved(map_arrow(whole, verified, "a string, b string"))
 
-    # Pivots join what is like them; within a crowded band all pairs that hang together by no link yet are verified too.
+    # Pivots join what is like them; for the texts of crowded bands that hang together by no link yet a prefix filter finds all pairs.
     edges = similar(pairs)
     groups = saved(components(edges))
     crowd = met.where(F.col("n") > GATHERING).select("band", "key", "digest").join(groups.withColumnRenamed("node", "digest"), "digest", "left")
     crowd = saved(crowd.withColumn("component", F.coalesce("component", "digest")))
     mixed = crowd.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
     if not mixed.isEmpty():
-        crowd = crowd.join(mixed, ["band", "key"])
-        others = crowd.withColumnsRenamed({"digest": "b", "component": "other"})
-        more = crowd.withColumnRenamed("digest", "a").join(others, ["band", "key"]).where("a < b and component <> other").select("a", "b").distinct()
-        groups = components(edges.union(similar(more.join(pairs, ["a", "b"], "left_anti"))))
+        apart = crowd.join(mixed, ["band", "key"], "left_semi").select("digest", "component").distinct()
+        more = prefix_pairs(apart.join(texts, "digest"), k, similarity).join(pairs, ["a", "b"], "left_anti")
+        groups = components(edges.union(similar(more)))
     named = saved(groups.join(nodes, groups["node"] == nodes["digest"]).select("digest", "doc_id", "component"))
     low = named.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("keeper"))
     of = lookup(named, low, "component").select("digest", "keeper")
     return nodes.select("digest", "doc_id", "copies").join(of, "digest", "left").withColumn("keeper", F.coalesce("keeper", F.struct("doc_id", "digest")))
 
 
+def prefix_pairs(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b) of all rows (digest, component, text) of different components that can reach `similarity`, exactly.
+
+    Of two texts that reach it, each has more than the share `similarity` of its shingles in common with the other. So if the
+    shingles are ordered by how many texts have them, the rarest 1 - `similarity` of the larger text (and one more) and the rarest
+    (1 - `similarity`) / (1 + `similarity`) of the smaller one (and one more) share one. Shingles that one
+    text has alone fill these places first and meet nothing: what thousands of texts hold makes no pairs of them.
+    """
+
+    def parted(b: pa.RecordBatch) -> dict:
+        found = [_shingle_hashes(t, k).view(np.int64) for t in b.column(2).to_pylist()]
+        return {"digest": b.column(0), "component": b.column(1), "size": [len(x) for x in found], "shingles": found}
+
+    held = saved(map_arrow(rows.select("digest", "component", "text"), parted, "digest string, component string, size long, shingles array<long>"))
+    every = held.select("digest", F.explode("shingles").alias("s"))
+    counts = saved(every.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
+    common = lookup(every, counts, "s", counts).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("c"))  # no more than a text has
+    place = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+    alone = F.col("size") - F.size("c")  # shingles of this text alone: the rarest
+    rare = held.join(common, "digest").select("digest", "component", "size", (place(similarity) - alone).alias("room"), (place(2 * similarity / (1 + similarity)) - alone).alias("less"), "c").where("room > 0")
+    rare = saved(rare.select("digest", "component", "size", "less", F.posexplode(F.slice("c", F.lit(1), F.col("room").cast("int"))).alias("at", "e")).select("digest", "component", "size", (F.col("at") < F.col("less")).alias("first"), F.col("e.s").alias("s")))
+    smaller = rare.where("first").drop("first").withColumnsRenamed({"digest": "_digest", "component": "_component", "size": "_size"})
+    met = rare.join(smaller, "s").where("component <> _component").where((F.col("_size") <= F.col("size")) & (F.col("_size") >= F.col("size") * similarity - 1e-9))
+    return met.select(F.least("digest", "_digest").alias("a"), F.greatest("digest", "_digest").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each group of near duplicates: that of the smallest doc_id, with all its columns."""
     groups = near_duplicates(docs, k, similarity)
