@@ -2,7 +2,7 @@ import pytest
 
 from axisloom import Mesh, explain, optimize, parse_spec, resolve_policy, set_default_policy, split_sizes, split_sizes_of_factors
 from axisloom.mesh import resolve_sizes
-from axisloom.plans.cost import Cost, Extent, Policy, Step, cost_of
+from axisloom.plans.cost import BROADCAST, Extent, Policy, Step, Work, joined, kernel_of, worked
 from axisloom.plans.planner import State, classify_binary, classify_unary
 
 M = Mesh.of(dp=2, sp=4, tp=8)
@@ -60,19 +60,18 @@ def test_steps(formula, steps):
 
 
 def test_golden_scores():
-    ranked = {a.name: a.cost.score for a in explain("a b/tp, b c -> a/tp c", M).alternatives}
+    ranked = {a.name: a.score for a in explain("a b/tp, b c -> a/tp c", M).alternatives}
     assert ranked == {"default": 8, "reduce_then_split": 14}
     names = [a.name for a in explain("a/tp b, c d -> a c/tp", M).alternatives]
     assert names == ["reshard", "default"]
 
 
 def test_policies():
-    c = Cost(score=3, collectives=1, materializations=1, forward_bytes=2048, backward_bytes=1024, peak_elements=1024, materialized_elements=1024)
-    assert Policy.of("training").score(c) == 3 + 100 + 200 + 3 + 1 + 1
-    assert Policy.of("inference").score(c) == 3 + 100 + 200 + 2 + 1 + 1
-    assert Policy.of("memory").score(c) == 3 + 50 + 400 + 3 + 64 + 64
-    assert Policy.of("communication").score(c) == 3 + 50 + 100 + 24 + 1 + 1
-    assert Policy.of("latency").score(c) == 3 + 1000 + 100 + 3 + 1 + 1
+    many, wide = Work(exchanges=4, shuffled=1 << 20), Work(exchanges=1, shuffled=64 << 20)
+    assert Policy.of("latency").weigh(many) > Policy.of("latency").weigh(wide)
+    assert Policy.of("communication").weigh(many) < Policy.of("communication").weigh(wide)
+    assert Policy.of("memory").weigh(Work(broadcast=4 << 20)) > Policy.of("training").weigh(Work(broadcast=4 << 20))
+    assert Policy.of(None).weigh(Work()) == 0
     with pytest.raises(ValueError, match="either optimize or policy"):
         resolve_policy("memory", "latency")
     with pytest.raises(ValueError, match="Unknown optimization policy"):
@@ -85,11 +84,25 @@ def test_policies():
     set_default_policy(None)
 
 
-def test_costs_with_extents():
+def test_work_of_steps():
     e = {None: Extent((("a", 8), ("b", 4)))}
-    c = cost_of([Step("gather", ("a", "dp"))], e, {"dp": 2})
-    assert c.materialized_elements == c.peak_elements == 64 and c.forward_bytes == 512
-    even = cost_of([Step("scatter", ("a", "dp"))], e, {"dp": 2})
-    uneven = cost_of([Step("scatter", ("a", "dp"))], e, {"dp": 2}, {("dp", "a"): [5, 3]})
-    assert even.materialized_elements == 0 and uneven.materialized_elements == 32
-    assert cost_of([Step("reshard", ("a", "b", "dp"))], e, {"dp": 2}).needs_shapes
+    assert e[None].bytes == 8 * 4 * 24
+    for kind, args in (("split", ("a", "dp")), ("gather", ("a", "dp")), ("swap", (("dp",), ("sp",))), ("reshard", ("a", "b", "dp")), ("permute", ("b", "a"))):
+        assert worked([Step(kind, args)], e, {"dp": 2}) == Work()  # coordinates don't move
+    copied = worked([Step("replicate", ("dp",)), Step("reduce", ("dp",))], e, {"dp": 2})
+    assert (copied.exchanges, copied.shuffled) == (1, 2 * e[None].bytes)
+
+
+def test_products_choose():
+    big = 100 * BROADCAST
+    assert joined(big, 1000, 5000).exchanges == 1 and joined(big, 1000, 5000).broadcast == 1000
+    assert joined(big, big, 5000).exchanges == 2 and joined(big, big, 5000).broadcast == 0
+    assert kernel_of(2000, 2000, 2000) == "blocks" and kernel_of(10, 10, 10) == kernel_of(None, 10, 10) == "join"
+
+
+def test_the_cheaper_plan_is_selected():
+    sizes = {"a": 1000, "b": 1000, "c": 1000}
+    e = {k: Extent(tuple((n, sizes[n]) for n in axes)) for k, axes in ((0, "ab"), (1, "cd"[:1]), (None, "ac"))}
+    plan = explain("a/tp b, c d -> a c/tp", M, extents=e)
+    assert plan.alternatives[0].status == "selected" and plan.alternatives[0].score <= plan.alternatives[1].score
+    assert all(x.work is not None for x in plan.alternatives)
