@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one is made only where none is set."""
+    """The folder that the driver and all executors share. Where none is set, a local one is made, on a local master only."""
     sc = spark.sparkContext
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(folder)
         return folder.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="axisloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
