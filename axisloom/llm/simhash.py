@@ -169,6 +169,8 @@ BANDS, ROWS = 12, 4
 #: Texts of one band up to which all pairs are verified; in larger ones each is verified against four pivots, and then
 #: against all texts that a prefix filter leaves and the links found so far don't join it to.
 GATHERING = 8
+#: Shingles before one of a prefix that tell whether two texts have met already.
+EARLIER = 4
 _MULTIPLY = np.array([xxhash.xxh64_intdigest(f"minhash {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -270,7 +272,8 @@ def prefix_pairs(rows: DataFrame, k: int, similarity: float) -> DataFrame:
     Of two texts that reach it, each has more than the share `similarity` of its shingles in common with the other. So if the
     shingles are ordered by how many texts have them, the rarest 1 - `similarity` of the larger text (and one more) and the rarest
     (1 - `similarity`) / (1 + `similarity`) of the smaller one (and one more) share one. Shingles that one
-    text has alone fill these places first and meet nothing: what thousands of texts hold makes no pairs of them.
+    text has alone fill these places first and meet nothing: what thousands of texts hold makes no pairs of them. Two texts meet at
+    the first shingle they share, and only if as many follow it in both as the similarity takes.
     """
 
     def parted(b: pa.RecordBatch) -> dict:
@@ -282,11 +285,15 @@ def prefix_pairs(rows: DataFrame, k: int, similarity: float) -> DataFrame:
     counts = saved(every.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))
     common = lookup(every, counts, "s", counts).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("c"))  # no more than a text has
     place = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
-    alone = F.col("size") - F.size("c")  # shingles of this text alone: the rarest
-    rare = held.join(common, "digest").select("digest", "component", "size", (place(similarity) - alone).alias("room"), (place(2 * similarity / (1 + similarity)) - alone).alias("less"), "c").where("room > 0")
-    rare = saved(rare.select("digest", "component", "size", "less", F.posexplode(F.slice("c", F.lit(1), F.col("room").cast("int"))).alias("at", "e")).select("digest", "component", "size", (F.col("at") < F.col("less")).alias("first"), F.col("e.s").alias("s")))
-    smaller = rare.where("first").drop("first").withColumnsRenamed({"digest": "_digest", "component": "_component", "size": "_size"})
-    met = rare.join(smaller, "s").where("component <> _component").where((F.col("_size") <= F.col("size")) & (F.col("_size") >= F.col("size") * similarity - 1e-9))
+    rare = held.join(common, "digest").withColumn("alone", F.col("size") - F.size("c"))  # shingles of this text alone: the rarest
+    rare = rare.select("digest", "component", "size", "alone", (place(similarity) - F.col("alone")).alias("room"), (place(2 * similarity / (1 + similarity)) - F.col("alone")).alias("less"), F.col("c.s").alias("s")).where("room > 0")
+    rare = rare.select("digest", "component", "size", "alone", "less", "s", F.posexplode(F.slice("s", F.lit(1), F.col("room").cast("int"))).alias("at", "e"))
+    before = f"slice(s, greatest(at - {EARLIER}, 0) + 1, least(at, {EARLIER})) before"
+    rare = saved(rare.selectExpr("digest", "component", "size", "at < less first", "size - alone - at rest", before, "e s"))
+    smaller = rare.where("first").drop("first").withColumnsRenamed({c: f"_{c}" for c in ("digest", "component", "size", "rest", "before")})
+    met = rare.join(smaller, "s").where("component <> _component").where("_size < size or _size = size and _digest < digest").where(F.col("_size") >= F.col("size") * similarity - 1e-9)
+    # At the first shingle that two texts share, what follows it (and itself) must be enough; at later ones they needn't meet again.
+    met = met.where(F.least("rest", "_rest") >= (F.col("size") + F.col("_size")) * (similarity / (1 + similarity)) - 1e-9).where(~F.arrays_overlap("before", "_before"))
     return met.select(F.least("digest", "_digest").alias("a"), F.greatest("digest", "_digest").alias("b")).distinct()
 
 

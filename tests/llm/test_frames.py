@@ -641,3 +641,23 @@ def test_pipeline(spark, tmp_path):
 def test_registered():
     names = list(queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_prefix_pairs_lose_none(spark):
+    """Every pair of different components that reaches the similarity, by brute force, comes out once."""
+    dice = Random(5)
+    base = [[f"w{dice.randrange(4000)}" for _ in range(n)] for n in (5, 12, 60, 60, 150, 150, 300)]
+    texts: list[str] = []
+    for _ in range(300):
+        words = list(dice.choice(base + [t.split() for t in texts[-60:]]))
+        for _ in range(dice.randrange(4)):
+            words[dice.randrange(len(words))] = f"x{dice.randrange(300)}"
+        texts.append(" ".join(words))
+    texts = sorted({*texts, "", "one two"})
+    held = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    component = [i % 7 if i % 3 else i for i in range(len(texts))]
+    rows = spark.createDataFrame([(f"{i:04}", f"c{component[i]}", bytearray(t.encode())) for i, t in enumerate(texts)], "digest string, component string, text binary")
+    for similarity in (0.8, 0.9):
+        found = [(int(r["a"]), int(r["b"])) for r in simhash.prefix_pairs(rows, 5, similarity).collect()]
+        want = {(i, j) for j in range(len(texts)) for i in range(j) if component[i] != component[j] and held[i] and held[j] and len(held[i] & held[j]) >= similarity * len(held[i] | held[j])}
+        assert len(found) == len(set(found)) and want and want <= set(found)
