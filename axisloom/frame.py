@@ -129,8 +129,11 @@ class Frame:
         """One row for each coordinate of the other axes, with an array over `axis`: dense, zero where there was no row."""
         n = self.size(axis)
         rest = [a for a in self.axes if a != axis]
-        lists = self.once().df.groupBy(*rest).agg(F.map_from_entries(F.collect_list(F.struct(axis, "v"))).alias("m"))  # the size of one axis
-        return lists.select(*rest, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0))).alias("v"))
+        lists = self.once().df.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct(axis, F.col("v").cast("double").alias("v")))).alias("m"))  # the size of one axis
+        zeros = lambda count: F.array_repeat(F.lit(0.0), count.cast("int"))
+        before = lambda i: F.coalesce(F.get("m", i - 1)[axis], F.lit(-1))
+        filled = F.flatten(F.transform("m", lambda e, i: F.concat(zeros(e[axis] - before(i) - 1), F.array(e["v"]))))
+        return lists.select(*rest, F.concat(filled, zeros(n - 1 - F.element_at("m", -1)[axis])).alias("v"))
 
     # --- layout -----------------------------------------------------------------------------------------------
 

@@ -94,7 +94,7 @@ def method_of(n: int, method: str = "auto") -> str:
     return "terms" if n <= 32 else "stages" if n <= 4096 and _factor(n) > 1 else "lines"
 
 
-def explain_fft(formula: str, axes, sizes: Mapping[str, int], *, real: bool = False, inverse: bool = False, mesh: Mesh | None = None, families=None, method: str = "auto") -> Explanation:
+def explain_fft(formula: str, axes, sizes: Mapping[str, int], *, real: bool = False, inverse: bool = False, mesh: Mesh | None = None, families=None, method: str = "auto", signal_sizes: Mapping[str, int] | None = None) -> Explanation:
     """The path that `fft` would take, without touching data."""
     f, _ = prepared(formula, families)
     pairs = _pairs(axes, families)
@@ -105,7 +105,12 @@ def explain_fft(formula: str, axes, sizes: Mapping[str, int], *, real: bool = Fa
         _check(f, pairs, mesh)
     except ValueError as e:
         return Explanation("unsupported", False, str(e), tuple(pairs))
-    kinds = {method_of(sizes[a], method) for a, _ in pairs}
+    given = per_axis(signal_sizes, families)
+    lengths = {a: sizes[a] for a, _ in pairs}
+    if real and inverse:  # the last axis holds half a spectrum
+        a, target = pairs[-1]
+        lengths[a] = max(given.get(target, given.get(a, 2 * (sizes[a] - 1))), 1)
+    kinds = {method_of(n, method) for n in lengths.values()}
     path = "lines" if "lines" in kinds else "stages" if "stages" in kinds else "terms"
     why = {"terms": "short axes: one contraction each", "stages": "lengths that factor: two contractions each", "lines": "long or prime lengths: whole lines in numpy"}[path]
     return Explanation(f"{'real ' if real else ''}{'inverse ' if inverse else ''}{path}", path != "lines", why, tuple(pairs))
@@ -127,12 +132,12 @@ def fft(formula: str, x: Frame, axes, *, inverse: bool = False, norm: str | None
     else:
         order = pairs
     for k, (a, target) in enumerate(order):
-        n = b.size(a)
         b = b.measured(a)
+        n = b.sizes[a]
         last = real and (a, target) == pairs[-1]
         if last and inverse:
             length = given.get(target, given.get(a, 2 * (n - 1)))
-            b = _half_inverse(b, a, target, length, norm)
+            b = _half_inverse(b, a, target, length, norm, method_of(max(length, 1), method))
         else:
             kept = n // 2 + 1 if last else n
             b = _transform(b, a, target, n, kept, inverse, scale(n, norm, inverse), method_of(n, method))
@@ -212,18 +217,21 @@ def _lines(x: Frame, a: str, target: str, n: int, kept: int, inverse: bool, fact
     return Frame(df, (*rest, target), sizes, ("re", "im"))
 
 
-def _half_inverse(x: Frame, a: str, target: str, n: int, norm: str | None) -> Frame:
-    """Real values from half a spectrum: the other half is the mirror image, so inner points count twice."""
+def half_weight(k: Column, n: int) -> Column:
+    """How often a coefficient of half a spectrum counts: the other half is the mirror image, so inner points count twice."""
+    return F.when((k == 0) | (k * 2 == n), 1.0).otherwise(2.0)
+
+
+def _half_inverse(x: Frame, a: str, target: str, n: int, norm: str | None, method: str) -> Frame:
+    """Real values from half a spectrum: the real part of the inverse transform of its weighed half alone."""
     if n < 1:
         raise ValueError("a signal has a point at least")
     rest = [c for c in x.axes if c != a]
     re, im = _parts(x)
-    k = F.col(a)
-    weight = F.when((k == 0) | (k * 2 == n), 1.0).otherwise(2.0)
-    rows = x.df.where(k <= n // 2).select(*rest, k.alias("_k"), (re * weight).alias("_re"), (im * weight).alias("_im"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(target))
-    value, _ = _turned(F.col("_re"), F.col("_im"), F.col("_k") * F.col(target), n, 1)
-    df = rows.groupBy(*rest, target).agg((F.sum(value) * scale(n, norm, True)).alias("v"))
-    return Frame(df, (*rest, target), {**{c: m for c, m in x.sizes.items() if c != a}, target: n})
+    weight = half_weight(F.col(a), n)
+    df = x.df.where(F.col(a) <= n // 2).select(*x.axes, (re * weight).alias("re"), (im * weight).alias("im"))
+    full = _transform(replace(x, df=df, values=("re", "im")), a, target, n, n, True, scale(n, norm, True), method)
+    return Frame(full.df.select(*rest, target, F.col("re").alias("v")), (*rest, target), full.sizes)
 
 
 def turns(sizes: Sequence[int]) -> list[tuple[int, int, float, float]]:

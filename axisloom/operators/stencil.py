@@ -99,10 +99,11 @@ def _outside(x: Frame, axis: str, places: list[int], fill: float) -> DataFrame:
 
 
 def _haloed(x: Frame, axis: str, left: int, right: int, boundary: str, fill: float) -> Frame:
-    n = x.size(axis)
+    x = x.measured(axis)
+    n = x.sizes[axis]
     _need(n, axis, boundary)
     if not left and not right:
-        return x.measured(axis)
+        return x
     df = x.df.select(*[F.explode(_reach(F.col(axis), n, left, right, boundary).cast("array<bigint>")).alias(axis) if a == axis else F.col(a) for a in x.keys], *x.values)
     if boundary == "constant" and fill:
         df = df.union(_outside(x, axis, [*range(left), *range(left + n, left + n + right)], fill))

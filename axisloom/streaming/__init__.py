@@ -1,5 +1,5 @@
 """Frames that grow: contractions are linear, so a stream of new coordinates adds its contraction to what is there."""
 
-from .accumulate import accumulated, contracted
+from .accumulate import accumulated, contracted, updated
 
-__all__ = ["accumulated", "contracted"]
+__all__ = ["accumulated", "contracted", "updated"]

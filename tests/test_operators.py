@@ -194,6 +194,29 @@ def test_conv(spark, boundary, mode, dilation):
     same(got, (_conv(x, w, mode, dilation) + b).transpose(0, 2, 1))
 
 
+@pytest.mark.parametrize("fill", [0.0, 2.0])
+@pytest.mark.parametrize(("boundary", "dilation"), [("constant", 2), ("periodic", 1), ("replicate", 2)])
+def test_conv_adjoint(spark, boundary, dilation, fill):
+    """By differences: the convolution is linear in the array, the kernel and the bias each."""
+    x, w, b, g = R(2, 6, 5, 3), R(4, 3, 3, 2), R(4), R(2, 6, 5, 4)
+    how = {"boundary": boundary, "dilation": {"h": dilation, "w": 1}, "padding": {"h": dilation, "w": (1, 0)}, "fill": fill}
+    formula, windows = "b h w c, o c kh kw -> b h w o", {"h": "kh", "w": "kw"}
+    run = lambda x, w: to_array(conv(formula, arrays(spark, x, "b h w c"), arrays(spark, w, "o c kh kw"), windows, bias=arrays(spark, b, "o"), **how))
+    to_x, to_w, to_b = adjoint.vjp_conv(formula, arrays(spark, x, "b h w c"), arrays(spark, w, "o c kh kw"), arrays(spark, g, "b h w o"), windows, **how)
+    base, dx, dw = run(x, w), R(*x.shape), R(*w.shape)
+    np.testing.assert_allclose(((run(x + dx, w) - base) * g).sum(), (to_array(to_x) * dx).sum(), rtol=1e-6)
+    np.testing.assert_allclose(((run(x, w + dw) - base) * g).sum(), (to_array(to_w) * dw).sum(), rtol=1e-6)
+    same(to_b, g.sum((0, 1, 2)))
+
+
+def test_conv_volume(spark):
+    x, w = R(3, 4, 5, 2), R(2, 2, 3, 1, 3)
+    got = to_array(conv("d h w c, o c kd kh kw -> d h w o", arrays(spark, x, "d h w c"), arrays(spark, w, "o c kd kh kw"), {"d": "kd", "h": "kh", "w": "kw"}))
+    wide = np.pad(x, ((1, 1), (0, 0), (1, 1), (0, 0)))
+    want = sum(np.einsum("dhwc,oc->dhwo", wide[a : a + 3, :, e : e + 5], w[:, :, a, 0, e]) for a in range(3) for e in range(3))
+    np.testing.assert_allclose(got, want, rtol=1e-6)
+
+
 def test_conv_errors(spark):
     x, w = arrays(spark, R(2, 7, 3), "b h c"), arrays(spark, R(4, 3, 3), "o c k")
     go = lambda **o: conv("b h c, o c k -> b h o", x, w, {"h": "k"}, **o)
@@ -232,6 +255,35 @@ def test_fft_adjoint(spark):
     np.testing.assert_allclose(np.vdot(y, fx), np.vdot(ay, x))
 
 
+@pytest.mark.parametrize("n", [1, 7, 8])
+@pytest.mark.parametrize("method", ["terms", "stages", "lines"])
+def test_real_inverse(spark, n, method):
+    m = n // 2 + 1
+    half = R(2, m) + 1j * R(2, m)
+    same(fft("b k -> b x", arrays(spark, half, "b k"), {"k": "x"}, inverse=True, real=True, signal_sizes={"x": n}, method=method), np.fft.irfft(half, n, axis=1) if n > 1 else half.real)
+
+
+@pytest.mark.parametrize("n", [6, 7])
+@pytest.mark.parametrize("norm", [None, "ortho", "forward"])
+def test_real_fft_adjoint(spark, n, norm):
+    axes = {"a": "ka", "x": "k"}
+    x, y = R(3, n), R(3, n // 2 + 1) + 1j * R(3, n // 2 + 1)
+    fx = np.fft.rfftn(x, axes=(0, 1), norm=norm)
+    ay = to_array(adjoint.vjp_fft("a x -> ka k", arrays(spark, y, "ka k"), axes, norm=norm, real=True, length=n))
+    np.testing.assert_allclose((fx.real * y.real + fx.imag * y.imag).sum(), (x * ay).sum(), rtol=1e-6)
+
+
+@pytest.mark.parametrize(("m", "n"), [(4, 6), (4, 7), (6, 7), (3, 7)])
+def test_real_inverse_adjoint(spark, m, n):
+    """The half has the right length, is cut short (6 for 4) or filled up (3 for 4)."""
+    y, g = R(3, m) + 1j * R(3, m), R(3, n)
+    fy = np.fft.irfft(np.fft.ifft(y, axis=0), n, axis=1)
+    f = adjoint.vjp_fft("ka k -> a x", arrays(spark, g, "a x"), {"ka": "a", "k": "x"}, inverse=True, real=True, length=m)
+    back = to_array(f)
+    assert back.shape == y.shape
+    np.testing.assert_allclose((fy * g).sum(), (back.real * y.real + back.imag * y.imag).sum(), rtol=1e-6)
+
+
 def test_fft_errors_and_paths(spark):
     x = arrays(spark, R(2, 6), "b x")
     with pytest.raises(ValueError, match="Invalid FFT norm"):
@@ -242,6 +294,8 @@ def test_fft_errors_and_paths(spark):
     assert explain_fft("b x -> b k", {"x": "k"}, {"x": 16}).path == "terms"
     assert explain_fft("b x -> b k", {"x": "k"}, {"x": 720}).path == "stages"
     assert explain_fft("b x -> b k", {"x": "k"}, {"x": 104729}, real=True).path == "real lines"
+    assert explain_fft("b k -> b x", {"k": "x"}, {"k": 17}, real=True, inverse=True).path == "real inverse terms"
+    assert explain_fft("b k -> b x", {"k": "x"}, {"k": 17}, real=True, inverse=True, signal_sizes={"x": 720}).path == "real inverse stages"
     assert explain_fft("b x -> b x", {}, {}).path == "none" and explain_fft("... x -> ... k", {"x": "k"}, {"x": 4}).path == "unsupported"
 
 
@@ -276,6 +330,8 @@ def test_packed_axis(spark):
     x = R(3, 4)
     rows = {r["a"]: r["v"] for r in arrays(spark, x, "a b").packed("b").collect()}
     np.testing.assert_allclose([rows[i] for i in range(3)], x)
+    gaps = Frame(spark.createDataFrame([(0, 1, 2.0), (0, 4, 3.0), (2, 0, 1.0)], "a bigint, b bigint, v double"), ("a", "b"), {"b": 6})
+    assert {r["a"]: r["v"] for r in gaps.packed("b").collect()} == {0: [0, 2, 0, 0, 3, 0], 2: [1, 0, 0, 0, 0, 0]}
 
 
 def test_stream(spark, tmp_path):
@@ -287,3 +343,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     same(Frame(spark.table("grown"), ("a", "c"), {"a": 4, "c": 2}), x @ y)
+
+
+def test_stream_updates(spark, tmp_path):
+    from axisloom.streaming import contracted, updated
+
+    write_frame(arrays(spark, x := R(4, 3), "a b"), str(tmp_path / "in"))
+    stream = spark.readStream.schema("a bigint, b bigint, v double").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    q = updated(contracted("a b, b c -> a c", stream, ["a", "b"], arrays(spark, y := R(3, 2), "b c")), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/n={n}"), str(tmp_path / "log"))
+    q.processAllAvailable()
+    q.stop()
+    same(Frame(spark.read.parquet(f"{out}/n=0"), ("a", "c"), {"a": 4, "c": 2}), x @ y)
