@@ -21,6 +21,7 @@ from .operators.contract import contract
 from .operators.conv import conv
 from .operators.fourier import fft
 from .operators.stencil import halo, halo_shards, roll, roll_shards, window
+from .plans.planner import explain
 from .registry import Registry, slices_table, spread
 from .sources import table
 
@@ -433,8 +434,8 @@ def window_average(s, d):
 
 
 def _kernel(s: SparkSession, *sizes: int) -> Frame:
-    """w[o c kh kw]: whole numbers."""
-    names = ("o", "c", "kh", "kw")[: len(sizes)]
+    """w[o c kh kw kz]: whole numbers."""
+    names = ("o", "c", "kh", "kw", "kz")[: len(sizes)]
     x = _grid(s.range(1), names, dict(zip(names, sizes, strict=True)))
     value = sum(((k + 2) * F.col(n) for k, n in enumerate(names)), F.lit(1)) % 5 - 1
     return Frame(x.select(*names, value.cast("double").alias("v")), names, dict(zip(names, sizes, strict=True)))
@@ -499,6 +500,200 @@ def fft_real_inverse(s, d):
     return rows(fft("d k -> d h", half, {"k": "h"}, inverse=True, real=True, signal_sizes={"h": 24}), 3)
 
 
+# --- more layouts -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_H} SELECT t // 24 d, t % 24 h, round(v, 4) + 0.0 v FROM H")
+def reshape_turn(s, d):
+    """Unpacked and turned at once, then back in the first order."""
+    return rows(contract("(d h) -> h d", hours(s, d), sizes={"d": 30, "h": 24}).densified())
+
+
+@query(f"WITH {_H}, B AS (SELECT t // 120 a, t // 12 % 10 b, t % 12 c, v FROM H) SELECT (a // 2 * 2 + b // 5) * 4 + c // 3 a_b_c, a % 2 wa, b % 5 wb, c % 3 wc, round(v, 4) + 0.0 v FROM B")
+def reshape_volume(s, d):
+    """Windows of a volume."""
+    families = {"spatial": ("a", "b", "c"), "window": ("wa", "wb", "wc")}
+    volume = contract("(a b c) -> a b c", hours(s, d), sizes={"a": 6, "b": 10, "c": 12})
+    return rows(contract("[*spatial *window] -> (*spatial) *window", volume, families=families, sizes={"window": (2, 5, 3)}).densified())
+
+
+@query(f"WITH {_E} SELECT {_cut('d', '64', 3)} _s_dp, d - {_start('d', '64', 3)} d, i, v FROM E")
+def layout_split_turned(s, d):
+    return contract("i d -> d/dp i", embeddings(s, d), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_E} SELECT {_cut('d', '64', 4)} _s_tp, i, d - {_start('d', '64', 4)} d, v FROM E")
+def layout_ellipsis(s, d):
+    return contract("... d -> ... d/tp", embeddings(s, d), mesh=MESH).renamed(("i", "d")).to_shards()
+
+
+@query(f"WITH {_E} SELECT {_cut('i', 'n', 2)} _s_sp, i - {_start('i', 'n', 2)} i, d, v FROM E, S")
+def layout_cross_mesh(s, d):
+    return contract("i/dp d -> i/sp d", contract("i d -> i/dp d", embeddings(s, d), mesh=MESH), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_W} SELECT {_cut('n', '25', 2)} _s_sp, {_cut('m', '25', 4)} _s_tp, {_cut('l', '8', 3)} _s_dp, n - {_start('n', '25', 2)} n, m - {_start('m', '25', 4)} m, l - {_start('l', '8', 3)} l, v FROM W")
+def layout_cycle(s, d):
+    """Three axes exchange their dimensions in a ring."""
+    first = contract("n m l -> n/dp m/sp l/tp", between_nations(s, d), mesh=MESH)
+    return contract("n/dp m/sp l/tp -> n/sp m/tp l/dp", first, mesh=MESH).to_shards()
+
+
+@query(f"WITH {_T}, S AS (SELECT max(s) + 1 n FROM T) SELECT p, s_nationkey::BIGINT n, {_cut('s', 'S.n', 6)} \"_p_dp-sp\", sum(v) v FROM T JOIN supplier ON s = s_suppkey, S GROUP BY ALL")
+def partial_compound(s, d):
+    return rows(contract("p s/dp-sp, s/dp-sp n -> p n // dp-sp", flow(s, d), nation_of(s, d), mesh=MESH), None)
+
+
+@query(f"WITH {_T} SELECT p, s_nationkey::BIGINT n, sum(v) v FROM T JOIN supplier ON s = s_suppkey GROUP BY ALL")
+def partial_compound_full(s, d):
+    kept = contract("p s/dp-sp, s/dp-sp n -> p n // dp-sp", flow(s, d), nation_of(s, d), mesh=MESH)
+    return rows(contract("p n // dp-sp -> p n", kept, mesh=MESH), None)
+
+
+# --- more products of placed operands ---------------------------------------------------------------------------
+
+_A = f"{_W}, A AS (SELECT n, m, sum(v) v FROM W GROUP BY ALL)"
+
+
+def _square(s, d) -> Frame:
+    """A[n m]: quantity between nations."""
+    return contract("n m l -> n m", between_nations(s, d))
+
+
+@query(f"WITH {_W} SELECT a.n, b.n e, sum(a.v * b.v) v FROM W a JOIN W b USING (m, l) GROUP BY ALL")
+def product_two_axes(s, d):
+    """Two summed axes, each on its own dimension."""
+    w = between_nations(s, d)
+    return rows(contract("n m/sp l/tp, e m/sp l/tp -> n e", w, w.renamed(("e", "m", "l")), mesh=MESH), None)
+
+
+@query(f"WITH {_A}, R AS (SELECT a.n, b.m e, sum(a.v * b.v) v FROM A a JOIN A b ON a.m = b.n GROUP BY ALL) SELECT {_cut('n', '25', 3)} _s_dp, {_cut('e', '25', 2)} _s_sp, n - {_start('n', '25', 3)} n, e - {_start('e', '25', 2)} e, v FROM R")
+def product_summa(s, d):
+    """Both operands and the result cut along both dimensions."""
+    a = _square(s, d)
+    return contract("n/dp k/sp, k/dp e/sp -> n/dp e/sp", a.renamed(("n", "k")), a.renamed(("k", "e")), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_A}, R AS (SELECT a.n, b.n e, sum(a.v * b.v) v FROM A a JOIN A b USING (m) GROUP BY ALL) SELECT {_cut('n', '25', 2)} _s_sp, {_cut('e', '25', 3)} _s_dp, n - {_start('n', '25', 2)} n, e - {_start('e', '25', 3)} e, v FROM R")
+def product_mirrored(s, d):
+    """The summed axis lies along one dimension in one operand and along the other in the other; the result's axes are turned."""
+    a = _square(s, d)
+    return contract("n/sp k/dp, e/dp k/sp -> e/dp n/sp", a.renamed(("n", "k")), a.renamed(("e", "k")), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_W}, R AS (SELECT a.l, a.n, b.m e, sum(a.v * b.v) v FROM W a JOIN W b ON a.l = b.l AND a.m = b.n GROUP BY ALL) SELECT {_cut('l', '8', 3)} _s_dp, l - {_start('l', '8', 3)} l, n, e, v FROM R")
+def product_batch(s, d):
+    """A batch axis that both operands hold in the same intervals."""
+    w = between_nations(s, d)
+    return contract("n k l/dp, k e l/dp -> l/dp n e", w.renamed(("n", "k", "l")), w.renamed(("k", "e", "l")), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_E}, {_P} SELECT i, o, round(sum(E.v * P.v), 4) + 0.0 v FROM E JOIN P USING (d) GROUP BY i, o")
+def product_gather_free(s, d):
+    return rows(contract("i/tp d, o d -> i o", embeddings(s, d), _weights(s), mesh=MESH))
+
+
+@query(f"WITH {_E}, {_P} SELECT {_cut('i', 'n', 4)} _s_tp, i - {_start('i', 'n', 4)} i, o, round(sum(E.v * P.v), 4) + 0.0 v FROM E JOIN P USING (d), S GROUP BY i, o, n")
+def product_split_free(s, d):
+    df = contract("i d, o d -> i/tp o", embeddings(s, d), _weights(s), mesh=MESH).to_shards()
+    return df.select("_s_tp", "i", "o", rounded("v").alias("v"))
+
+
+@query(f"WITH {_E}, {_P} SELECT i, o, round(sum(E.v * P.v), 4) + 0.0 v FROM E JOIN P USING (d) GROUP BY i, o")
+def product_split_summed(s, d):
+    """One operand holds the summed axis whole, the other in intervals."""
+    return rows(contract("i d, o d/tp -> i o", embeddings(s, d), _weights(s), mesh=MESH))
+
+
+@query(f"WITH {_E}, {_P} SELECT {_cut('o', '6', 3)} _s_dp, i, o - {_start('o', '6', 3)} o, round(sum(E.v * P.v), 4) + 0.0 v FROM E JOIN P USING (d) GROUP BY i, o")
+def product_moved(s, d):
+    """The result lies along another axis than its operand."""
+    df = contract("i/dp d, o d -> i o/dp", embeddings(s, d), _weights(s), mesh=MESH).to_shards()
+    return df.select("_s_dp", "i", "o", rounded("v").alias("v"))
+
+
+@query(f"WITH {_E}, K AS (SELECT label::BIGINT k, d, sum(E.v) v FROM E JOIN embeddings ON i = vec_id GROUP BY ALL) SELECT i, (E.d // 16)::BIGINT h, k, round(sum(E.v * K.v), 3) + 0.0 v FROM E JOIN K USING (d) GROUP BY ALL")
+def product_heads(s, d):
+    """Scores of queries against keys for each of four heads, which lie on their own ranks."""
+    e = embeddings(s, d)
+    label = Frame.of(table(s, d, "embeddings"), {"i": "vec_id", "k": "label"}, F.lit(1.0), sizes={"k": 10})
+    keys = contract("k (h e) -> h k e", contract("i d, i k -> k d", e, label), sizes={"h": 4, "e": 16})
+    heads = contract("i (h e) -> h i e", e, sizes={"h": 4, "e": 16})
+    return rows(contract("h/tp i e, h/tp k e -> h/tp i k", heads, keys, mesh=MESH), 3)
+
+
+# --- more neighbours, convolutions and transforms ---------------------------------------------------------------
+
+
+@query(f"WITH {_H} SELECT c::BIGINT t, k::BIGINT kt, round(v, 4) + 0.0 v FROM range(720) a(c), range(4) b(k) JOIN H ON t = (c - 2 + k + 720) % 720")
+def window_periodic(s, d):
+    return rows(window("t -> t kt", hours(s, d).densified(), {"t": "kt"}, {"t": (2, 1)}, boundary="periodic"))
+
+
+@query(f"WITH {_H} SELECT s::INTEGER _s_tp, o::BIGINT t, round(v, 4) + 0.0 v FROM range(4) a(s), range(190) b(o) JOIN H ON t = (s * 180 + o - 3 + 720) % 720")
+def halo_placed_periodic(s, d):
+    df = halo_shards("t/tp -> t/tp", hours(s, d).densified(), {"t": (3, 7)}, mesh=MESH, boundary="periodic")
+    return df.select("_s_tp", "t", rounded("v").alias("v"))
+
+
+@query(f"WITH {_H} SELECT s::INTEGER _s_tp, o::BIGINT t, round(v, 4) + 0.0 v FROM range(4) a(s), range(190) b(o) JOIN H ON t = greatest(0, least(719, s * 180 + o - 3))")
+def halo_placed_replicate(s, d):
+    df = halo_shards("t/tp -> t/tp", hours(s, d).densified(), {"t": (3, 7)}, mesh=MESH, boundary="replicate")
+    return df.select("_s_tp", "t", rounded("v").alias("v"))
+
+
+@query(f"""WITH {_H}, X AS (SELECT t // 24 d, t // 6 % 4 q, t // 2 % 3 r, t % 2 c, v FROM H)
+SELECT a.d::BIGINT d, b.q::BIGINT q, e.r::BIGINT r, o::BIGINT o, round(sum(X.v * ((1 + 2 * o + 3 * X.c + 4 * k + 5 * l + 6 * z) % 5 - 1)), 3) + 0.0 v
+FROM range(30) a(d), range(4) b(q), range(3) e(r), range(2) u(o), range(3) f(k), range(3) g(l), range(3) h(z)
+JOIN X ON X.d = greatest(0, least(29, a.d + k - 1)) AND X.q = greatest(0, least(3, b.q + l - 1)) AND X.r = greatest(0, least(2, e.r + z - 1)) GROUP BY ALL""")
+def conv_volume(s, d):
+    """Three windowed axes, two channels in and out, ends replicated."""
+    x = contract("(d q r c) -> d q r c", hours(s, d), sizes={"d": 30, "q": 4, "r": 3, "c": 2})
+    return rows(conv("d q r c, o c kh kw kz -> d q r o", x, _kernel(s, 2, 2, 3, 3, 3), {"d": "kh", "q": "kw", "r": "kz"}, boundary="replicate").densified(), 3)
+
+
+@query(f"""WITH {_H}, X AS (SELECT t // 24 d, t // 2 % 12 h, t % 2 c, v FROM H), C AS (SELECT c::BIGINT c FROM range(2) w(c))
+SELECT a.d::BIGINT d, b.h::BIGINT h, o::BIGINT o, round(sum(coalesce(X.v, -1) * ((1 + 2 * o + 3 * C.c + 4 * k + 5 * l) % 5 - 1)), 3) + 0.0 v
+FROM range(30) a(d), range(12) b(h), range(2) u(o), range(3) f(k), range(3) g(l), C LEFT JOIN X ON X.d = a.d + k - 2 AND X.h = b.h + l - 1 AND X.c = C.c GROUP BY ALL""")
+def conv_filled(s, d):
+    """Two channels, a fill beside the ends, and margins that are given."""
+    x = contract("(d h c) -> d h c", hours(s, d), sizes={"d": 30, "h": 12, "c": 2}).densified()
+    return rows(conv("d h c, o c kh kw -> d h o", x, _kernel(s, 2, 2, 3, 3), {"d": "kh", "h": "kw"}, padding={"d": (2, 0), "h": 1}, fill=-1).densified(), 3)
+
+
+_BACK = "round(sum({v} * cos(2 * pi() * ((({a}) % {n})::DOUBLE) / {n})), 4) + 0.0 re, round(sum({v} * sin(2 * pi() * ((({a}) % {n})::DOUBLE) / {n})), 4) + 0.0 im"
+
+
+@query(f"WITH {_G} SELECT d, k::BIGINT k, {_SUM.format(v='v / 24', a='k * h', n=24).replace(', 4)', ', 6)')} FROM G, range(24) r(k) GROUP BY d, k")
+def fft_forward_norm(s, d):
+    """The factor goes with the forward transform; the result's axes are turned."""
+    return rows(fft("d h -> k d", grid(s, d).densified(), {"h": "k"}, norm="forward"), 6)  # at six digits no value lies halfway
+
+
+@query(f"WITH {_H} SELECT k::BIGINT t, {_BACK.format(v='v', a='k * t', n=720)} FROM H, range(720) r(k) GROUP BY k")
+def fft_inverse_norm(s, d):
+    return rows(fft("k -> t", hours(s, d).renamed(("k",)), {"k": "t"}, inverse=True, norm="forward"), 4)
+
+
+@query(f"WITH {_G} SELECT {_cut('d', '30', 3)} _s_dp, d - {_start('d', '30', 3)} d, h, round(v, 4) + 0.0 v FROM G")
+def fft_layout(s, d):
+    """Without axes to transform, only the order and places change."""
+    df = fft("d h -> h d/dp", grid(s, d).densified(), {}, mesh=MESH).to_shards()
+    return df.select("_s_dp", "d", "h", rounded("v").alias("v"))
+
+
+@query(f"WITH {_H} SELECT t, round(v, 3) + 0.0 v FROM H")
+def fft_real_inverse_stages(s, d):
+    half = fft("t -> k", hours(s, d), {"t": "k"}, real=True)
+    return rows(fft("k -> t", half, {"k": "t"}, inverse=True, real=True, signal_sizes={"t": HOURS}), 3)
+
+
+@query(f"WITH {_E} SELECT i, d, round(v, 3) + 0.0 v FROM E")
+def fft_real_inverse_lines(s, d):
+    half = fft("i d -> i k", embeddings(s, d), {"d": "k"}, real=True)
+    return rows(fft("i k -> i d", half, {"k": "d"}, inverse=True, real=True, method="lines"), 3)
+
+
 # --- adjoints ---------------------------------------------------------------------------------------------------
 
 
@@ -561,3 +756,167 @@ def duty_mean(s, d):
 @query("SELECT c_nationkey::BIGINT n, p::INTEGER _p_dp, sum(p + 1)::DOUBLE v FROM customer, range(3) r(p) GROUP BY ALL")
 def duty_none(s, d):
     return rows(_registry().reduce_grad("u", _ranked(s, d)), None)
+
+
+def _ones_by_nation(s, d) -> Frame:
+    return Frame.of(table(s, d, "customer"), {"n": "c_nationkey"}, F.lit(1.0), sizes={"n": 25}, unique=False)
+
+
+@query("SELECT c_nationkey::BIGINT n, p::INTEGER _p_dp, count(*)::DOUBLE v FROM customer, range(3) r(p) GROUP BY ALL")
+def adjoint_sum(s, d):
+    """Of a sum over ranks: the same gradient on every rank."""
+    return rows(adjoint.vjp_relayout("n // dp -> n", _ones_by_nation(s, d), mesh=MESH), None)
+
+
+@query("SELECT c_nationkey::BIGINT n, 6.0::DOUBLE * count(*) v FROM customer GROUP BY ALL")
+def adjoint_copy(s, d):
+    """Of a copy to every rank: the sum of the ranks' gradients."""
+    return rows(adjoint.vjp_relayout("n -> n // dp", _ranked(s, d), mesh=MESH), None)
+
+
+@query("SELECT c_nationkey::BIGINT n, 0::INTEGER _p_dp, 6.0::DOUBLE * count(*) v FROM customer GROUP BY ALL")
+def adjoint_broadcast(s, d):
+    """Of a copy of rank 0's values to every rank: the sum on rank 0."""
+    return rows(adjoint.vjp_broadcast(_ranked(s, d), "dp", 0), None)
+
+
+@query("SELECT c_nationkey::BIGINT n, p::INTEGER _p_dp, count(*)::DOUBLE v FROM customer, range(3) r(p) GROUP BY ALL")
+def adjoint_scatter(s, d):
+    """Of a sum that leaves each rank an interval: all intervals on every rank."""
+    g = contract("n -> n/dp", _ones_by_nation(s, d), mesh=MESH)
+    return rows(adjoint.vjp_relayout("n // dp -> n/dp", g, mesh=MESH), None)
+
+
+@query(f"WITH C AS (SELECT c_nationkey::BIGINT i, 6.0::DOUBLE * count(*) v FROM customer GROUP BY ALL) SELECT {_cut('i', '25', 3)} _s_dp, i - {_start('i', '25', 3)} n, v FROM C")
+def adjoint_gather_sum(s, d):
+    """Of intervals gathered on ranks that go on apart: summed, each rank keeps its interval."""
+    return adjoint.vjp_relayout("n/dp -> n // dp", _ranked(s, d), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_E} SELECT {_cut('i', 'n', 3)} _s_dp, i - {_start('i', 'n', 3)} i, d, v FROM E, S")
+def adjoint_gather(s, d):
+    return adjoint.vjp_relayout("i/dp d -> i d", embeddings(s, d), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_E} SELECT i, d, v FROM E")
+def adjoint_split(s, d):
+    return rows(adjoint.vjp_relayout("i d -> i/dp d", contract("i d -> i/dp d", embeddings(s, d), mesh=MESH), mesh=MESH), None)
+
+
+@query(f"WITH {_E} SELECT {_cut('i', 'n', 3)} _s_dp, i - {_start('i', 'n', 3)} i, d, v FROM E, S")
+def adjoint_reshard(s, d):
+    return adjoint.vjp_relayout("i/dp d -> i d/dp", contract("i d -> i d/dp", embeddings(s, d), mesh=MESH), mesh=MESH).to_shards()
+
+
+@query(f"WITH {_E} SELECT {_cut('i', 'n', 3)} _s_dp, {_cut('d', '64', 2)} _s_sp, i - {_start('i', 'n', 3)} i, d - {_start('d', '64', 2)} d, v FROM E, S")
+def adjoint_swap(s, d):
+    g = contract("i d -> i/sp d/dp", embeddings(s, d), mesh=MESH)
+    return adjoint.vjp_relayout("i/dp d/sp -> i/sp d/dp", g, mesh=MESH).to_shards()
+
+
+@query(f"WITH {_H} SELECT k::BIGINT t, {_BACK.format(v='v', a='k * t', n=720)} FROM H, range(720) r(k) GROUP BY k")
+def adjoint_fft(s, d):
+    return rows(adjoint.vjp_fft("t -> k", hours(s, d).renamed(("k",)), {"t": "k"}), 4)
+
+
+@query(f"""WITH {_G}, Y AS (SELECT d, k, sum(v * cos(-2 * pi() * (k * h % 24) / 24)) re, sum(v * sin(-2 * pi() * (k * h % 24) / 24)) im FROM G, range(13) r(k) GROUP BY ALL)
+SELECT d, h::BIGINT h, round(sum(re * cos(2 * pi() * (k * h % 24) / 24) - im * sin(2 * pi() * (k * h % 24) / 24)), 3) + 0.0 v FROM Y, range(24) q(h) GROUP BY ALL""")
+def adjoint_fft_real(s, d):
+    """Of the half spectrum of each day, for a gradient that is this spectrum."""
+    g = fft("d h -> d k", grid(s, d).densified(), {"h": "k"}, real=True)
+    return rows(adjoint.vjp_fft("d h -> d k", g, {"h": "k"}, real=True, length=24), 3)
+
+
+@query(f"""WITH {_G}, Y AS (SELECT d, k, (CASE WHEN k = 0 THEN 1 ELSE 2 END) / 24.0 f, sum(v * cos(-2 * pi() * (k * h % 24) / 24)) re, sum(v * sin(-2 * pi() * (k * h % 24) / 24)) im FROM G, range(10) r(k) GROUP BY ALL)
+SELECT d, k::BIGINT k, round(f * re, 5) + 0.0 re, round(f * im, 5) + 0.0 im FROM Y""")
+def adjoint_fft_prefix(s, d):
+    """Of real signals of 24 hours from the first 10 coefficients alone."""
+    return rows(adjoint.vjp_fft("d k -> d h", grid(s, d).densified(), {"k": "h"}, real=True, inverse=True, length=10), 5)
+
+
+_X = f"{_H}, X AS (SELECT t // 2 t, t % 2 c, v FROM H)"
+
+
+def _conv_adjoint(s, d) -> tuple[Frame, Frame, Frame]:
+    """Gradients of a circular convolution with three places, two channels in and two out, for a gradient that is the input."""
+    x = contract("(t c) -> t c", hours(s, d), sizes={"t": 360, "c": 2}).densified()
+    return adjoint.vjp_conv("t c, o c kh -> t o", x, _kernel(s, 2, 2, 3), x.renamed(("t", "o")), {"t": "kh"}, boundary="periodic")
+
+
+@query(f"WITH {_X} SELECT a.t::BIGINT t, e.c::BIGINT c, round(sum(X.v * ((1 + 2 * X.c + 3 * e.c + 4 * k) % 5 - 1)), 3) + 0.0 v FROM range(360) a(t), range(2) e(c), range(3) b(k) JOIN X ON X.t = (a.t - k + 1 + 360) % 360 GROUP BY ALL")
+def adjoint_conv_input(s, d):
+    return rows(_conv_adjoint(s, d)[0], 3)
+
+
+@query(f"WITH {_X} SELECT g.c::BIGINT o, X.c::BIGINT c, k::BIGINT kh, round(sum(g.v * X.v), 2) + 0.0 v FROM X g, range(3) b(k) JOIN X ON X.t = (g.t + k - 1 + 360) % 360 GROUP BY ALL")
+def adjoint_conv_kernel(s, d):
+    return rows(_conv_adjoint(s, d)[1], 2)
+
+
+@query(f"WITH {_X} SELECT c::BIGINT o, round(sum(v), 3) + 0.0 v FROM X GROUP BY ALL")
+def adjoint_conv_bias(s, d):
+    return rows(_conv_adjoint(s, d)[2], 3)
+
+
+# --- plans and states -------------------------------------------------------------------------------------------
+
+#: Formulas and the kinds of their steps, in order.
+_PLANNED = {
+    "a b -> a/dp b": "split",
+    "a/dp b -> a b": "gather",
+    "a/dp b -> a b/dp": "reshard",
+    "a/dp b -> a/sp b": "swap",
+    "n h/sp w/dp -> n h/dp w/sp": "swap",
+    "a b // tp -> a b": "reduce",
+    "a b // tp -> a/tp b": "scatter",
+    "a b -> a b // tp": "replicate",
+    "a/tp b -> a b // tp": "gather_sum",
+    "a // (sp,dp) -> a": "reduce reduce",
+    "a b/tp, b c -> a c": "split contract reduce",
+    "b n c, h/tp c -> b n h/tp": "replicate contract",
+    "l f/tp, f/tp e -> l/tp e // tp": "contract split",
+    "a k/dp m/sp, k/sp m/dp b -> a b": "swap contract reduce reduce",
+}
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{c}'" if isinstance(c, str) else str(c) for c in r) + ")" for r in rows)
+
+
+@query(f"SELECT formula, place::BIGINT place, step FROM (VALUES {_values((f, k, n) for f, names in _PLANNED.items() for k, n in enumerate(names.split()))}) t(formula, place, step)")
+def plan_steps(s, d):
+    """What `explain` says of a list of formulas."""
+    return s.createDataFrame([(f, k, n) for f in _PLANNED for k, n in enumerate(explain(f, MESH).names())], "formula string, place bigint, step string")
+
+
+#: Formulas, and the free, shared and summed axes of their operands.
+_ROLES = {"b l e, b e f -> b l f": ("l f", "b", "e"), "i, j -> i j": ("i j", "", ""), "a b, a b -> a b": ("", "a b", ""), "k l, l k -> k": ("", "k", "l")}
+
+
+@query(f"SELECT * FROM (VALUES {_values((f, *r) for f, r in _ROLES.items())}) t(formula, free, shared, summed)")
+def plan_roles(s, d):
+    roles = {f: explain(f).roles for f in _ROLES}
+    return s.createDataFrame([(f, " ".join(r.free), " ".join(r.shared), " ".join(r.contracted)) for f, r in roles.items()], "formula string, free string, shared string, summed string")
+
+
+#: Formulas and their alternatives, the best one first.
+_CHOICES = {"a b/tp, b c -> a/tp c": ("default", "reduce_then_split"), "a/tp b, c d -> a c/tp": ("reshard", "default")}
+
+
+@query(f"SELECT formula, place::BIGINT place, name FROM (VALUES {_values((f, k, n) for f, names in _CHOICES.items() for k, n in enumerate(names))}) t(formula, place, name)")
+def plan_choices(s, d):
+    return s.createDataFrame([(f, k, a.name) for f in _CHOICES for k, a in enumerate(explain(f, MESH).alternatives)], "formula string, place bigint, name string")
+
+
+@query("""SELECT * FROM (VALUES ('conv.bias', 'o', '', '', 'dp sp tp'), ('conv.weight', 'o c kh kw', '', '', 'dp sp tp'), ('norm.bias', 'c', '', '', 'dp sp tp'), ('norm.weight', 'c', '', '', 'dp sp tp'),
+('up.bias', 'o', 'tp', '', 'dp sp'), ('up.weight', 'o c', 'tp', 'dp sp', 'dp sp')) t(name, axes, shards, sums, shared)""")
+def registry_states(s, d):
+    """States after layers, a formula that tells a gradient's dimensions, and the end of registration."""
+    r = Registry()
+    r.register_linear("up", "o/tp c")
+    r.register_conv("conv")
+    r.register_norm("norm")
+    r.register_operand("up.weight", "b/dp n/sp c, o/tp c [param] -> b/dp n/sp o/tp", 1)
+    r.finalize()
+    r.validate([n for n, _ in r], MESH)
+    return s.createDataFrame([(n, " ".join(x.axes), " ".join(x.shards), " ".join(x.reduce), " ".join(x.shared(MESH))) for n, x in r], "name string, axes string, shards string, sums string, shared string")
