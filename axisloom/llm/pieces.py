@@ -15,7 +15,8 @@ file is a parameter and of fixed size; it is read by the driver and goes to the
 Blanks become U+2581 and one is put in front of each text, empty ones included, as the format has it; nothing else is normalised.
 U+2581 itself is spelled in bytes, so that decoding gives every text back to the byte. If no piece runs over a blank
 that follows another character (checked as the model is read), the best segmentation of a text is made of those of its
-blank-led words; each task then remembers words it has seen, up to REMEMBER of them, and forgets those that haven't come up for longest.
+blank-led words; each worker then remembers words it has seen, from task to task, up to REMEMBER of them (and those of the
+text at hand), and forgets those that haven't come up for longest.
 
 Null texts have null ids, empty ones an empty list; repeated rows and ties get equal ids; other columns pass untouched.
 """
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import at_end, free_name, map_arrow
+from .common import free_name, map_arrow
 
 BLANK = "▁"
-#: Words that a task remembers at most.
-REMEMBER = 200_000
+#: Words that a worker remembers at most: about 100 MB.
+REMEMBER = 400_000
 
 
 def _fields(data: bytes):
@@ -98,13 +99,13 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes; made once in each task."""
+    """Encodes and decodes; made once in each worker."""
 
     def __init__(self, v: Vocabulary):
         self.automaton = ahocorasick.Automaton()
         normal = [i for i, k in enumerate(v.kinds) if k == "n" and v.pieces[i]]
         for i in normal:
-            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i, v.pieces[i]))
+            self.automaton.add_word(v.pieces[i], (len(v.pieces[i]), v.scores[i], i))
         if normal:
             self.automaton.make_automaton()
         self.bytes = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == "b"}
@@ -116,7 +117,9 @@ class Coder:
         self.word = None if inside else re.compile(r" +[^ ]*|[^ ]+" if lines else r" +[^ \n]*|\n|[^ \n]+")
         #: BPE: the rank of each piece (0 is merged first), whether pairs of pieces fit, and what a piece was merged from.
         self.rank = {v.pieces[i]: r for r, i in enumerate(sorted(normal, key=lambda i: -v.scores[i]))} if v.merging else None
-        self.fitting: dict[tuple[str, str], bool] = {}
+        self.pieces, self.nothing = v.pieces, len(v.pieces)
+        self.single = {v.pieces[i]: i for i in normal if len(v.pieces[i]) == 1}
+        self.fitting: dict[int, bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         #: Words seen of late, and those of the time before.
         self.known: dict[str, bytes] = {}
@@ -143,7 +146,7 @@ class Coder:
                 if score[done - 1] + self.below > score[done]:
                     score[done], back[done] = score[done - 1] + self.below, (1, None)
 
-        for last, (long, gain, piece, _) in self.automaton.iter(shown) if self.normal else ():
+        for last, (long, gain, piece) in self.automaton.iter(shown) if self.normal else ():
             end = last + 1
             spell_up_to(end - 1)
             if own and not own.isdisjoint(range(end - long, end)):
@@ -177,12 +180,13 @@ class Coder:
             self.halves[piece] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self.halves[piece]
 
-    def _fits(self, pair: tuple[str, str]) -> bool:
-        """Whether merging both parts leaves them apart; the first may be empty."""
-        before, piece = pair
+    def _fits(self, pair: int) -> bool:
+        """Whether merging leaves two pieces apart: the first, or `nothing`, times one more than all pieces, plus the second."""
+        before, piece = divmod(pair, self.nothing + 1)
         if len(self.fitting) >= 2 * REMEMBER:
             self.fitting.clear()
-        found = self.fitting[pair] = (len(piece) == 1 or self._halves(piece) is not None) and (not before or self._apart(before, piece))
+        own = self.pieces[piece]
+        found = self.fitting[pair] = (len(own) == 1 or self._halves(own) is not None) and (before == self.nothing or self._apart(self.pieces[before], own))
         return found
 
     def _apart(self, x: str, y: str) -> bool:
@@ -202,32 +206,29 @@ class Coder:
     def _fitted(self, text: str) -> list[int]:
         """Ids of the only segmentation in which all neighbours fit."""
         shown = text.replace(BLANK, "\0").replace(" ", BLANK)
-        n = len(shown)
-        last: list[str] = [""] * (n + 1)
-        ids: list[int | None] = [None] * (n + 1)
-        done, fitting = 0, self.fitting
-        for stop, (long, _, piece, own) in self.automaton.iter(shown) if self.normal else ():
-            if last[stop + 1]:
+        n, nothing, fitting = len(shown), self.nothing, self.fitting
+        each = nothing + 1
+        last = [nothing] + [-1] * n
+        size = [0] * (n + 1)  # of the piece that ends here; none where a character stands for itself
+        for stop, (long, _, piece) in self.automaton.iter(shown) if self.normal else ():
+            stop += 1
+            if size[stop]:
                 continue
-            while done < stop:  # a place that no piece reaches is reached by its character
-                done += 1
-                if not last[done]:
-                    last[done] = shown[done - 1]
-            pair = (last[stop + 1 - long], own)
+            before = last[stop - long]
+            if before < 0:  # all pieces that end there have been: none reaches it, so its character does
+                before = last[stop - long] = self.single.get(shown[stop - long - 1], nothing)
+            pair = before * each + piece
             fits = fitting.get(pair)
             if self._fits(pair) if fits is None else fits:
-                last[stop + 1], ids[stop + 1] = own, piece
-        while done < n:
-            done += 1
-            if not last[done]:
-                last[done] = shown[done - 1]
+                last[stop], size[stop] = piece, long
         out: list[int] = []
         while n:
-            if (piece := ids[n]) is None:
-                out += reversed(self._spell(text[n - 1]))
+            if long := size[n]:
+                out.append(last[n])
+                n -= long
             else:
-                out.append(piece)
-            n -= len(last[n])
+                out += reversed(self._spell(text[n - 1]))
+                n -= 1
         out.reverse()
         return out
 
@@ -238,21 +239,18 @@ class Coder:
         if self.word is None:
             return np.array(self.best(text), np.int32)
         known, words = self.known, self.word.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
-        except KeyError:
-            parts = []
-            for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    ids = self.older.get(w) or array("i", self.best(w)).tobytes()
-                    if len(w) <= 64:
-                        if len(known) >= REMEMBER // 2:
-                            self.older, self.known = known, {}
-                            known = self.known
-                        known[w] = ids
-                parts.append(ids)
-            return np.frombuffer(b"".join(parts), np.int32)
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBER // 2:  # a text with more words than that is remembered until the next one
+            self.older, self.known = known, {}
+            known, new = self.known, set(words)
+        older = self.older
+        for w in new:
+            known[w] = older.get(w) or array("i", self.best(w)).tobytes()
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        for w in new:
+            if len(w) > 64:
+                del known[w]
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
@@ -261,11 +259,11 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
-at_end.append(_coders.clear)
 
 
 def coder(digest: str, vocabulary: Vocabulary) -> Coder:
     if digest not in _coders:
+        _coders.clear()  # one vocabulary at a time
         _coders[digest] = Coder(vocabulary)
     return _coders[digest]
 
