@@ -102,14 +102,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
-#: What a worker drops when a task ends.
-at_end: list[Callable[[], None]] = []
-
-
 def trim() -> None:
     """Gives a worker's memory back to the system as a task ends; workers live on from task to task."""
-    for f in at_end:
-        f()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -18,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import PLAIN, binary, free_name, map_arrow, plain_words
+from .common import PLAIN, binary, dropped, free_name, map_arrow, plain_words, saved
 
 #: Text of test items that one automaton holds at most, about.
 BLOCK_BYTES = 4 << 20
@@ -143,25 +144,26 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str | None, list[bytes]]]]:
-    """The items by blocks. The table is a stated query set; each block is fetched by itself."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[str | None, list[bytes]]], bool]]:
+    """The items by blocks, each with whether it is the last. The table is a stated query set; the driver holds a block at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), binary("text").alias("text")).where(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    part = F.pmod(F.xxhash64("text"), F.lit(max(1, n)))
-    return [[(i, w) for i, t in items.where(part == k).toLocalIterator() if (w := plain_words(bytes(t)))] for k in range(n)]
+    n = max(1, -(-total // BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("text"), F.lit(n))
+    for k in range(n):
+        yield [(i, w) for i, t in items.where(part == k).toLocalIterator() if (w := plain_words(bytes(t)))], k == n - 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, spans: str = "spans", items: str = "items", words: str = "n_words", trimmed: str | None = None, shortest: int = 1) -> DataFrame:
     """`docs` with hit stretches of words, the ids of items with occurring windows (sorted as strings), and the number of
     words; as column `trimmed`, if named, also the text without stretches of `shortest` words or more (null: nothing to cut)."""
     text = free_name(docs, "bytes")
-    blocks = _blocks(benchmark) or [[]]
     if trimmed:
         docs = docs.withColumn(trimmed, F.lit(None).cast("binary"))
     out = docs.withColumns({text: binary("text"), spans: F.array().cast("array<array<int>>"), items: F.array().cast("array<string>"), words: F.lit(0).cast("long")})
-    for number, block in enumerate(blocks):
-        automaton, last = Automaton(block, window), number == len(blocks) - 1
+    before = None
+    for block, last in _blocks(benchmark):
+        automaton = Automaton(block, window)
 
         def run(b: pa.RecordBatch, automaton: Automaton = automaton, last: bool = last) -> pa.RecordBatch:
             at = [b.schema.get_field_index(c) for c in (text, spans, items, words)]
@@ -180,6 +182,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, spans: str
             return pa.record_batch([pa.array(got[i], f.type) if i in got else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
 
         out = map_arrow(out, run, StructType(out.schema.fields))
+        if not last:  # a worker holds the automaton of one block; the next block is a pass of its own
+            out = saved(out)
+            if before is not None:
+                dropped(before)
+            before = out
     return out.drop(text)
 
 

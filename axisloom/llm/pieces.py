@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import free_name, map_arrow
+from .common import map_arrow
 
 BLANK = "▁"
 #: Words that a worker remembers at most: about 100 MB.

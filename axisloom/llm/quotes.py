@@ -20,13 +20,14 @@ white space alone aren't any. Other columns pass only if named.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved
+from .common import lookup, map_arrow, saved
 
 #: Characters of a normalised unit from which on it can be linked to another conversation.
 LEAST = 12
@@ -91,7 +92,7 @@ def linked(messages: DataFrame) -> DataFrame:
         return dict(zip(("conv_id", "turn", "depth", "passage", "hash", "n"), map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True))
 
     quotes = saved(map_arrow(keyed, parsed, "conv_id long, turn long, depth int, passage int, hash long, n long").distinct())
-    wanted = quotes.select("hash").distinct()
+    wanted = saved(quotes.select("hash").distinct())
 
     def owned(b: pa.RecordBatch) -> dict:
         rows = [(c, t, u[2]) for c, t, text in zip(*(x.to_pylist() for x in b.columns), strict=True) for u in units(text) if not u[0]]
@@ -100,10 +101,12 @@ def linked(messages: DataFrame) -> DataFrame:
     if quotes.isEmpty():
         own = quotes.select("conv_id", "turn", "hash").limit(0)
     else:
-        own = map_arrow(keyed, owned, "conv_id long, turn long, hash long").join(wanted, "hash", "left_semi")
+        # A line that a third of all messages hold is one row of each conversation before it moves.
+        all_own = saved(map_arrow(keyed, owned, "conv_id long, turn long, hash long").groupBy("conv_id", "hash").agg(F.min("turn").alias("turn")))
+        own = lookup(all_own, wanted, "hash")
     first = saved(own.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")))
-    anywhere = first.groupBy("hash").agg(F.min(F.struct("conv_id", "original")).alias("there"))
-    met = quotes.join(first, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
+    anywhere = wanted.join(first.groupBy("hash").agg(F.min(F.struct("conv_id", "original")).alias("there")), "hash", "left")  # a row for each hash
+    met = lookup(quotes.join(first, ["conv_id", "hash"], "left"), anywhere, "hash")
     met = met.withColumn("there", F.when(F.col("n") >= LEAST, F.col("there")))
     met = met.withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
     # A passage counts once, by its longest linked unit.
@@ -135,7 +138,9 @@ def report(messages: DataFrame) -> DataFrame:
         text = pa.array([own_text(t or "") for t in b.column(3).to_pylist()], pa.string())
         return pa.record_batch([*b.columns[:3], text], names=b.schema.names)
 
-    own = map_arrow(plain, bare, "conv_id long, turn long, role string, text string")
-    out = own.join(links, ["conv_id", "turn"], "left")
+    own = lambda which: map_arrow(plain.where(which), bare, "conv_id long, turn long, role string, text string")
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    rootless = reduce(lambda df, c: df.withColumn(c, F.lit(None).cast("long")), (c for c in links.columns if c not in ("conv_id", "turn")), own(~known))
+    out = own(known).join(links, ["conv_id", "turn"], "left").unionByName(rootless)  # null ids would meet in one task
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("conv_id", "turn", "role", "parent", F.coalesce("thread", "turn").alias("thread"), *map(zero, ("depth", "n_quotes", "n_linked", "n_elsewhere")), "text")

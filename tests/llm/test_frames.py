@@ -116,7 +116,7 @@ def test_simhash(docs, empty):
 def test_links_against_brute_force(spark, monkeypatch, crowd):
     import random
 
-    rnd = random.Random(5)
+    rnd = Random(5)
     monkeypatch.setattr(simhash, "CROWD", crowd)
     values = set()
     for _ in range(12):
@@ -287,7 +287,7 @@ def test_passages(spark):
 def test_passages_in_crowds(spark):
     import random
 
-    rnd = random.Random(5)
+    rnd = Random(5)
     word = lambda: f"w{rnd.randrange(10**6)}"
     some = lambda n: [word() for _ in range(n)]
     rows, want = [], {}
@@ -456,6 +456,27 @@ def test_quotes(spark):
     assert quotes.report(df.limit(0)).count() == 0
 
 
+def test_common_quotes_against_brute_force(spark):
+    """2400 messages: one line in half of them, replies to earlier turns of their conversation, rows without ids."""
+    rng, rows, said = Random(5), [], {}
+    for i in range(2400):
+        conv, turn = i % 60, i // 60
+        own = "the very common line of all" if rng.random() < 0.5 else f"what message {i} says by itself"
+        to = rng.choice([None, *range(turn)])
+        text = own if to is None else f"> {said[conv, to]}\n{own}"
+        said[conv, turn] = own
+        rows.append((conv, turn, "u", text))
+    lost = [(None, 1, "u", "> the very common line of all\nyes"), (3, None, "u", "no ids")] * 3
+    df = spark.createDataFrame([*rows, *lost], "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = quotes.report(df).collect()
+    first = {}
+    for c, t, _, text in rows:
+        first.setdefault((c, text.rsplit("\n", 1)[-1]), t)
+    want = {(c, t): first[c, text[2:].split("\n")[0]] if text[0] == ">" else None for c, t, _, text in rows}
+    assert {(r["conv_id"], r["turn"]): r["parent"] for r in got if None not in (r["conv_id"], r["turn"])} == want
+    assert len(got) == 2406 and sum(r["parent"] is None and r["n_linked"] == 0 for r in got if None in (r["conv_id"], r["turn"])) == 6
+
+
 def test_short_quotes(spark):
     rows = [(1, 0, "u", "Do you?\nnp"), (1, 1, "a", "可以吗？"), (1, 2, "u", "> np\nfine"), (1, 3, "a", "> 可以吗？\n好"), (1, 4, "u", "> no such\nwell"), (2, 0, "u", "> np\nhm")]
     by = {(r["conv_id"], r["turn"]): r for r in quotes.report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
