@@ -345,6 +345,19 @@ def test_passages_behind_a_common_header(spark, header, own):
     assert [i for i, _ in rows if (got[i]["spans"], got[i]["class_id"]) != (f"70-{70 + header + own}", i - i % 2)] == []
 
 
+def test_changed_passages_behind_a_common_header(spark):
+    """Pairs of near copies whose least shingles and halves mostly stand in a header that all texts have."""
+    rnd = Random(3)
+    some = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    common, rows = some(42), []
+    for g in range(100):
+        one = common + some(14)
+        other = one[:47] + some(1) + one[48:]
+        rows += [(2 * g + i, " ".join(some(70) + p + some(70))) for i, p in enumerate((one, other))]
+    got = {r["doc_id"]: r for r in passages.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i, _ in rows if (got[i]["spans"], got[i]["class_id"]) != ("70-126", i - i % 2)] == []
+
+
 def _repeated(rows):
     """Brute force: the words of each text in any LENGTH words that another text holds as well, and the classes these make."""
     grams = defaultdict(set)

@@ -213,3 +213,22 @@ def test_license_windows():
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == decontaminate.digest(set())
+
+
+def test_passages_meet_at_the_rarest_shingle_they_share():
+    rnd = np.random.default_rng(2)
+    width = passages.WIDTH
+    order = np.concatenate([rnd.integers(0, 1000, 150), rnd.integers(900, 1000, 200)]).astype(np.uint64)
+    place, first, last = passages.rarest(order)
+    reach = dict(zip(place.tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
+    for n in range(width, 2 * width + 1):
+        for a in range(0, len(order) - n + 1, 3):
+            part = order[a : a + n]
+            for at in np.flatnonzero((part[:, None] > part[None, :]).sum(1) <= n // 9).tolist():
+                own = np.flatnonzero(part >= part[at]) + a
+                if own[-1] - own[0] + 1 >= width:
+                    assert reach[a + at][0] <= own[0] and reach[a + at][1] >= own[-1]
+    assert 0 < len(place) < 300
+    long = rnd.integers(0, 1 << 40, 20_000).astype(np.uint64)
+    whole = passages._rarest(long, 2 * width + 8)
+    assert all((a == b).all() for a, b in zip(passages.rarest(long), whole, strict=True))
