@@ -3,9 +3,10 @@
 import hashlib
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from random import Random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -395,6 +396,32 @@ def test_passages_of_many_parts_against_brute_force(spark):
         assert got[i]["class_id"] == got[group[i]]["class_id"], i
 
 
+def _near(spark, texts):
+    return spark.createDataFrame([(i, bytearray(np.arange(len(h), dtype="<i4").tobytes()), bytearray(h.astype("<u8").tobytes())) for i, h in enumerate(texts)], "node long, at binary, hash binary")
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 21])
+def test_shingles_that_other_texts_have(spark, piece):
+    rnd = np.random.default_rng(5)
+    texts = [np.unique(rnd.integers(0, 1 << 11, 60)).astype(np.uint64) << np.uint64(53) for _ in range(40)] + [rnd.integers(0, 1 << 63, 50).astype(np.uint64), np.zeros(0, np.uint64)]
+    times = Counter(h for t in texts for h in set(t.tolist()))
+    got = {}
+    for r in passages.shared_shingles(_near(spark, texts), piece).collect():
+        got[r["node"]] = {h: n for s in r["shared"] for h, n in zip(np.frombuffer(s["hash"], "<u8").tolist(), np.frombuffer(s["n"], "<u4").tolist(), strict=True)}
+    want = {i: {h: times[h] for h in t.tolist() if times[h] > 1} for i, t in enumerate(texts)}
+    assert got == {i: x for i, x in want.items() if x}
+
+
+@pytest.mark.parametrize("common, pairs", [(passages.WIDTH - 2, 0), (passages.WIDTH, 66)])
+def test_passages_of_a_crowd_end_where_only_one_text_goes_on(spark, common, pairs):
+    """However many texts there are: here the shingles of single texts all have equal upper bits."""
+    head = (np.arange(1, common + 1, dtype=np.uint64) << np.uint64(50)) | np.uint64(7)
+    near = _near(spark, [np.concatenate([head, np.arange(1, 200, dtype=np.uint64) + np.uint64(1000 * i)]) for i in range(12)])
+    none = spark.createDataFrame([], "node long, spans array<array<int>>"), spark.createDataFrame([], "node long, class long")
+    got = passages.rest_pairs(near, *none).collect()
+    assert len(got) == pairs and all(r["start"] == r["first"] == 0 and r["end"] == r["last"] == common for r in got)
+
+
 def test_passages_of_similarity(spark):
     """Near copies of passages in otherwise different texts: recall by similarity of the five-word shingles."""
     rnd = Random(4)

@@ -232,3 +232,16 @@ def test_passages_meet_at_the_rarest_shingle_they_share():
     long = rnd.integers(0, 1 << 40, 20_000).astype(np.uint64)
     whole = passages._rarest(long, 2 * width + 8)
     assert all((a == b).all() for a, b in zip(passages.rarest(long), whole, strict=True))
+
+
+def test_passages_never_meet_at_a_shingle_of_one_text():
+    rnd = np.random.default_rng(4)
+    for alone in (0.02, 0.08, 0.12):
+        order = rnd.integers(1, 1 << 40, 9000).astype(np.uint64)
+        order[rnd.random(9000) < alone] = 0
+        order[3000:6000][rnd.random(3000) < 0.7] = 0
+        place, first, last = passages.rarest(order)
+        shared = order[place] > 0
+        assert len(place) and all((a == b[shared]).all() for a, b in zip(passages.meeting(order), (place, first, last), strict=True))
+    assert not any(len(x) for x in passages.meeting(np.zeros(500, np.uint64)))
+    assert not any(len(x) for x in passages.meeting(np.ones(20, np.uint64)))
