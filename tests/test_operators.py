@@ -123,6 +123,32 @@ def test_blocks(spark):
     same(contract("i k, j k -> i j", arrays(spark, x, "i k"), arrays(spark, y, "j k"), kernel="blocks"), x @ y.T)
 
 
+def test_blocks_are_spread(spark):
+    """A contracted axis of one block is one key of the join; its product is made by several tasks all the same."""
+    from pyspark.sql import functions as F
+
+    x, y = R(1100, 3), R(1030, 3)
+    x[5] = 0
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables as small as these would be one task again
+    try:
+        got = contract("i k, j k -> i j", arrays(spark, x, "i k"), arrays(spark, y, "j k"), kernel="blocks")
+        assert got.df.groupBy(F.spark_partition_id()).count().count() > 1
+        same(got, x @ y.T)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_nearest(spark):
+    """Halves go away from zero, also below and beyond what has digits; no negative zero."""
+    from axisloom.functions import nearest
+
+    values = [0.5, 1.5, 2.5, -0.5, -2.5, 0.49999999999999994, -1e-9, 4503599627370497.5, 1e300, float("inf"), float("-inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(nearest("v", 0)).collect()]
+    assert str(got) == str([1.0, 2.0, 3.0, -1.0, -3.0, 0.0, 0.0, 4503599627370497.5, 1e300, float("inf"), float("-inf"), float("nan")])
+    assert [r[0] for r in spark.createDataFrame([(0.12345,), (-7.00006,), (1e20,)], "v double").select(nearest("v")).collect()] == [0.1235, -7.0001, 1e20]
+
+
 @pytest.mark.parametrize(("boundary", "fill", "want"), [("constant", -1, [-1, -1, 0, 1, 2, 3, 4, -1]), ("periodic", 0, [3, 4, 0, 1, 2, 3, 4, 0]), ("replicate", 0, [0, 0, 0, 1, 2, 3, 4, 4])])
 def test_halo(spark, boundary, fill, want):
     x = np.arange(5.0)
