@@ -215,6 +215,26 @@ def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == decontaminate.digest(set())
 
 
+def test_many_pairs_are_compared_like_each(monkeypatch):
+    """Spans of pairs compared at once are those of each pair alone: changed, verbatim, moved, repeated, short and empty rows, within stretches of their texts."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(6)]
+    texts = [np.zeros(0, np.uint64), base[0][:20], np.tile(base[1][:7], 60), np.concatenate([base[2][:60], base[3][:90], base[2][:60]])]
+    for b in base:
+        for share in (0, 0.03, 0.08, 0.12):
+            t = np.where(rng.random(len(b)) < share, rng.integers(0, 1 << 63, len(b), dtype=np.uint64), b)
+            texts += [t, np.concatenate([t[200:290], rng.integers(0, 1 << 63, 70, dtype=np.uint64), t[20:180], t[20:180]]), np.delete(t, slice(100, 109))]
+    pairs = []
+    for y in texts:
+        for x in texts:
+            pairs.append((x[int(rng.integers(0, 30)) : int(rng.integers(60, 420))], (y, int(rng.integers(0, 30)), int(rng.integers(60, 420)))))
+    want = [passages.passages(x, y[i:j]) if len(x) and len(y[i:j]) else ([], []) for x, (y, i, j) in pairs]
+    assert sum(bool(a and b) for a, b in want) > 200 and any(len(a) > 2 for a, _ in want)
+    for at_once in (1 << 17, 3000):
+        monkeypatch.setattr(passages, "_AT_ONCE", at_once)
+        assert passages.compare([x for x, _ in pairs], [y for _, y in pairs]) == want
+
+
 def test_passages_meet_at_the_rarest_shingle_they_share():
     rnd = np.random.default_rng(2)
     width = passages.WIDTH
